@@ -1,0 +1,21 @@
+"""Index algebra in its explicit form: sets of keys, intersected or united, then fetched."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+
+
+def key_set(df: DataFrame, key: str, where: Column) -> DataFrame:
+    return df.filter(where).select(key)
+
+
+def intersect_fetch(df: DataFrame, key: str, terms: list[Column]) -> DataFrame:
+    """Rows whose key is in the key set of every term. A plain `filter(a & b)` gives the same rows in one scan."""
+    return reduce(lambda out, t: out.join(key_set(df, key, t), key, "left_semi"), terms, df)
+
+
+def union_fetch(df: DataFrame, key: str, terms: list[Column]) -> DataFrame:
+    """Rows whose key is in the key set of any term, each once."""
+    return df.join(reduce(lambda a, b: a.union(b), [key_set(df, key, t) for t in terms]).distinct(), key, "left_semi")
