@@ -74,7 +74,7 @@ def run_numbers(df: DataFrame, order: str, key: str, name: str = "rn", parts: in
     numbered = global_row_numbers(df, [order], "_at", parts)
     previous = numbered.select((F.col("_at") + 1).alias("_at"), F.col(key).alias("_was"))
     starts = numbered.join(previous, "_at", "left").withColumn("_new", (~F.col(key).eqNullSafe(F.col("_was")) | (F.col("_at") == 1)).cast("long"))
-    runs = running_total(starts, [order], F.col("_new"), "_run", parts)
+    runs = running_total(starts, [order], F.col("_new"), "_stretch", parts)
     # A run may be most of the table, so its first position is found by aggregation, not by a window over the run.
-    first = runs.groupBy("_run").agg(F.min("_at").alias("_first"))
-    return runs.join(first, "_run").withColumn(name, F.col("_at") - F.col("_first") + 1).drop("_at", "_was", "_new", "_run", "_first")
+    first = runs.groupBy("_stretch").agg(F.min("_at").alias("_first"))
+    return runs.join(first, "_stretch").withColumn(name, F.col("_at") - F.col("_first") + 1).drop("_at", "_was", "_new", "_stretch", "_first")
