@@ -140,3 +140,7 @@ def redact(df: DataFrame, text: str = "text", least: float = 0.5) -> DataFrame:
 
 def span_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+
+def count_of(spans: Column, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long")
