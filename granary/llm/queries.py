@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.sources.tables import table
 
-from . import pii
+from . import bpe, pii, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -26,6 +27,17 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+@query()
+def op1_simhash(spark: SparkSession, d: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, d, "documents"))
+
+
+@query()
+def op4_bpe(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return bpe.digests(docs, public_tokenizers.path("word_bpe_49k.json")).drop("text")
+
+
 @query()
 def op10_pii(spark: SparkSession, d: str) -> DataFrame:
     found = pii.find_pii(table(spark, d, "documents").select("doc_id", "text"))
