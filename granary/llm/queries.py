@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from granary.sources.tables import table
 
-from . import bpe, pii, simhash
+from . import bpe, mixing, pii, simhash, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -32,12 +32,28 @@ def op1_simhash(spark: SparkSession, d: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, d, "documents"))
 
 
+#: Relative target weights by source; any other source has REST.
+WEIGHTS, REST = {"src0": 2.0, "src1": 4.0, "src2": 0.5}, 1.0
+
+
+@query(mixing.sql(WEIGHTS, "d.doc_id, d.text, d.lang, d.source, d.n_chars", REST))
+def op2_mixing(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), WEIGHTS, rest=REST)
+
+
 @query()
 def op4_bpe(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text")
     return bpe.digests(docs, public_tokenizers.path("word_bpe_49k.json")).drop("text")
 
 
+@query()
+def op9_token_counts(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    blocks, owners = token_files.tokenised(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, 50256)
+    return owners.join(token_files.counts(blocks, 50256), ["shard", "ordinal"]).select("doc_id", "n_tokens", "shard", "ordinal")
+
+
 @query()
 def op10_pii(spark: SparkSession, d: str) -> DataFrame:
     found = pii.find_pii(table(spark, d, "documents").select("doc_id", "text"))
