@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from granary.sources.tables import table
 
-from . import bpe, mixing, pii, simhash, token_files
+from . import bpe, labelled, mixing, pii, quality, simhash, token_files, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -47,6 +47,20 @@ def op4_bpe(spark: SparkSession, d: str) -> DataFrame:
     return bpe.digests(docs, public_tokenizers.path("word_bpe_49k.json")).drop("text")
 
 
+@query()
+def op6_quality(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    out = quality.scored(docs, quality.train(docs, table(spark, d, "labels")), out="score")
+    return out.select("doc_id", labelled.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query()
+def op7_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    out = toxicity.scored(docs, toxicity.train(docs, table(spark, d, "labels")), out="score")
+    return out.select("doc_id", labelled.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query()
 def op9_token_counts(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text")
