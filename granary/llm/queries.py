@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from granary.sources.tables import table
 
-from . import bpe, labelled, mixing, pii, quality, simhash, token_files, toxicity
+from . import bpe, embedding_dedup, labelled, mixing, pii, quality, simhash, token_files, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -47,6 +47,11 @@ def op4_bpe(spark: SparkSession, d: str) -> DataFrame:
     return bpe.digests(docs, public_tokenizers.path("word_bpe_49k.json")).drop("text")
 
 
+@query()
+def op5_embedding_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, d, "embeddings"))
+
+
 @query()
 def op6_quality(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text")
