@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from granary.sources.tables import table
 
-from . import bpe, embedding_dedup, labelled, mixing, pii, quality, simhash, token_files, toxicity
+from . import bpe, embedding_dedup, labelled, mixing, neighbours, pii, quality, simhash, token_files, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -66,6 +66,12 @@ def op7_toxicity(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", labelled.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@query()
+def op8_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    found = neighbours.nearest(table(spark, d, "embeddings"), F.col("id") % 20 == 0)
+    return found.select(F.col("query").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
+
+
 @query()
 def op9_token_counts(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text")
