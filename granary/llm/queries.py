@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from granary.sources.tables import table
 
-from . import bpe, embedding_dedup, labelled, mixing, neighbours, pii, quality, simhash, token_files, toxicity
+from . import bpe, embedding_dedup, labelled, mixing, neighbours, pii, quality, simhash, substring_dedup, token_files, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -41,6 +41,11 @@ def op2_mixing(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), WEIGHTS, rest=REST)
 
 
+@query()
+def op3_suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, d, "documents"))
+
+
 @query()
 def op4_bpe(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text")
