@@ -23,6 +23,7 @@ import json
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -180,7 +181,7 @@ def tokenizer(spec: str) -> Tokenizer:
 
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
     """`df` with the token ids of each text (array of int)."""
-    return _mapped(df, path, text, [(ids, "array<int>", lambda n, i, _: [int(x) for x in i.split()])])
+    return _mapped(df, path, text, [(ids, "array<int>", _ids)])
 
 
 def decode(df: DataFrame, path: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
@@ -188,10 +189,15 @@ def decode(df: DataFrame, path: str, ids: str = "token_ids", out: str = "decoded
     return _mapped(df, path, ids, [(out, "string", None)])
 
 
-def digests(df: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """`df` with n_tokens, ids_sha256 and decoded_sha256, without keeping the ids."""
+def digests(df: DataFrame, path: str, text: str = "text", ids: str | None = None) -> DataFrame:
+    """`df` with n_tokens, ids_sha256 and decoded_sha256, and the ids only where `ids` names a column for them."""
     sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
-    return _mapped(df, path, text, [("n_tokens", "bigint", lambda n, i, d: n), ("ids_sha256", "string", lambda n, i, d: sha(i)), ("decoded_sha256", "string", lambda n, i, d: sha(d))])
+    outs = [("n_tokens", "bigint", lambda n, i, d: n), ("ids_sha256", "string", lambda n, i, d: sha(i)), ("decoded_sha256", "string", lambda n, i, d: sha(d))]
+    return _mapped(df, path, text, outs + ([(ids, "array<int>", _ids)] if ids else []))
+
+
+def _ids(n: int, ids: str, decoded: str) -> np.ndarray:
+    return np.array(ids.split(), np.int32)
 
 
 def round_trip(df: DataFrame, path: str, text: str = "text") -> DataFrame:
