@@ -6,7 +6,8 @@ radius // segments bits of some segment, so a table of exact segment values is m
 value, and full distances are verified. Equal fingerprints are one class from the start, so copies never meet in pairs.
 
 Null and empty texts have the fingerprint zero and link like any other. Case folds for A-Z only. Texts are whole, in
-bytes, of any length. Documents with equal ids would share one class row; ids are taken as unique.
+bytes, of any length. Ids are taken as unique; a null id names no component, and rows that
+have one are linked through but never named by it.
 """
 
 from __future__ import annotations
@@ -87,7 +88,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
 
 
 def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, radius: int = 3) -> DataFrame:
-    """`df` without the documents that aren't the smallest of their component."""
-    (other,) = fresh(df, "_kept")
-    kept = near_duplicates(df, key, text, words, radius).filter(F.col(key) == F.col("component_id")).select(F.col(key).alias(other))
-    return df.join(kept, df[key] == kept[other], "left_semi")
+    """`df` without the documents that aren't the smallest of their component; rows with a null key all stay."""
+    (other,) = fresh(df, "_dropped")
+    dropped = near_duplicates(df, key, text, words, radius).filter(F.col(key) != F.col("component_id")).select(F.col(key).alias(other))
+    return df.join(dropped, df[key] == dropped[other], "left_anti")

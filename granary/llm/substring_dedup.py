@@ -16,7 +16,8 @@ of its windows:
 
 Null and empty texts have no bytes. Matches never cross texts. Very long texts are cut into pieces of window starts, so
 memory is bounded; a cut stretch is only a shorter one. Copies, repeats within a text and overlaps all count; texts are
-judged as they came. Ids are unique; further columns play no part. Contents are told apart by 128 hashed bits.
+judged as they came. Ids are unique; rows with a null id keep all their bytes and count for no
+other; further columns play no part. Contents are told apart by 128 hashed bits.
 """
 
 from __future__ import annotations
@@ -292,7 +293,7 @@ def covered(size: int, hits: list[dict], length: int) -> np.ndarray:
 def repeated(df: DataFrame, key: str, text: str, length: int, gram: int) -> tuple[DataFrame, DataFrame]:
     """(doc, blob) of all texts, and (doc, hits): the repeated stretches of those that have any."""
     docs = df.select(F.col(f"`{key}`").alias("doc"), F.col(f"`{text}`").cast("string").alias("text"))
-    rows, blobs = found_in(docs, length, gram), squeezed(docs)
+    rows, blobs = found_in(docs.filter("doc IS NOT NULL"), length, gram), squeezed(docs)
     kinds = rows.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "place")).alias("first"))
     anchors = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("contents"), F.max("n").alias("most"))
     # Kept: contents that stand twice, and all contents of anchors that have several.

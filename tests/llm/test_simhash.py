@@ -49,6 +49,9 @@ def test_hard_texts(spark):
     df = spark.createDataFrame([(i, t, "f") for i, t in texts.items()], "doc_id long, text string, fingerprint string")
     check(simhash.near_duplicates(df).collect(), texts)
     assert {r.doc_id for r in simhash.one_of_each(df).collect()} == {4, 1, 2, 3, 11} and simhash.one_of_each(df).columns == df.columns
+    more = df.union(spark.createDataFrame([(None, "one", "f"), (None, "new", "f")], df.schema))
+    assert sum(r.doc_id is None for r in simhash.one_of_each(more).collect()) == 2
+    assert {r.component_id for r in simhash.near_duplicates(more).collect() if r.doc_id is None} == {1, None}
     assert simhash.near_duplicates(df.filter("false")).count() == 0
 
 

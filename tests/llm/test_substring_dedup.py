@@ -53,6 +53,8 @@ def test_hard_texts(spark, monkeypatch):
         monkeypatch.setattr(D, "RUN", 40)
         monkeypatch.setattr(D, "PER_BUCKET", 60)
         assert result(D.dedup(df, length=20, gram=6)) == plain(texts, 20)
+    more = df.union(spark.createDataFrame([(None, shared, 1, 2)] * 2, df.schema))
+    assert [r for r in D.dedup(more, length=20, gram=6).collect() if r.doc_id is None and r.n_removed == 0 and r.n_bytes == len(shared.encode())][1:]
     assert D.dedup(df.filter("false")).count() == 0
     assert D.dedup(df, length=20, gram=6, kept_text=True).filter("n_bytes - n_removed <> length(kept)").count() == 0
 
