@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 from .common import drop_saved, saved
 from .vectors import by_rows, chunked, matrix, usable
 
-DEGREE, REVERSE, TREES, LEAF, SAMPLE = 32, 20, 8, 1000, 20_000
-ROUNDS, SETTLED, OFFERS = 4, 0.02, 6
-BEAM, EXPAND, HOPS, SEED = 96, 12, 6, 5
+DEGREE, REVERSE, TREES, LEAF, SAMPLE = 32, 24, 16, 1000, 20_000
+ROUNDS, SETTLED, OFFERS = 5, 0.02, 8
+BEAM, EXPAND, HOPS, SEED = 224, 20, 9, 5
 
 
 class Tree:
@@ -137,6 +137,15 @@ def prepared(df: DataFrame, key: str, vec: str) -> tuple[DataFrame, int]:
     return saved(by_rows(ok, "id bigint, v array<double>, vec binary", run)), n
 
 
+def halved(points: DataFrame) -> DataFrame:
+    """(id, vec) in half precision, for ranking; final scores are taken from the original vectors."""
+
+    def make(b: pa.RecordBatch) -> dict[str, pa.Array]:
+        return {"id": b.column(0), "vec": pa.array([np.frombuffer(v.as_buffer(), "f4").astype("f2").tobytes() for v in b.column(1)], pa.binary())}
+
+    return by_rows(points.select("id", "vec"), "id bigint, vec binary", make)
+
+
 def build(points: DataFrame, n: int, degree: int = DEGREE, trees: int = TREES, leaf: int = LEAF, rounds: int = ROUNDS) -> DataFrame:
     """The neighbour graph (node, other, score)."""
     spark = points.sparkSession
@@ -157,7 +166,7 @@ def build(points: DataFrame, n: int, degree: int = DEGREE, trees: int = TREES, l
     # A leaf with many rows (copies fall together) is cut at random; its members have near ones in every part.
     groups = chunked(saved(dealt), ["tree", "leaf"], 2 * leaf, "id").groupBy("tree", "leaf", "chunk").agg(F.collect_list("id").alias("ids"), F.collect_list("vec").alias("vecs"))
     graph = saved(top_of(by_rows(groups.select("ids", "vecs"), PAIR, leaf_pairs(degree), 1).distinct(), degree).withColumn("fresh", F.lit(True)))
-    keep_vec = saved(by_rows(points.select("id", "vec"), "id bigint, vec binary", lambda b: {"id": b.column(0), "vec": pa.array([np.frombuffer(v.as_buffer(), "f4").astype("f2").tobytes() for v in b.column(1)], pa.binary())}))
+    keep_vec = saved(halved(points))
 
     for turn in range(rounds if depth else 0):
         info = keep_vec.join(graph.groupBy("node").agg(F.min("score").alias("worst"), F.count(F.lit(1)).alias("held")), F.col("id") == F.col("node")).select("id", "vec", F.when(F.col("held") >= degree, F.col("worst")).otherwise(float("-inf")).cast("float").alias("worst"))
@@ -184,7 +193,7 @@ def search(points: DataFrame, graph: DataFrame, queries: Column, k: int = 20, be
     """(query, rank, id, score) for the points that `queries` picks."""
     # A node's neighbours both ways, so that what names a node is reached from it too.
     both = graph.select("node", "other").union(top_of(graph.select(F.col("other").alias("node"), F.col("node").alias("other"), "score"), REVERSE).select("node", "other")).distinct()
-    vec = points.select("id", "vec")
+    vec = halved(points)
     adjacency = saved(both.join(vec, F.col("other") == F.col("id")).groupBy("node").agg(F.collect_list("id").alias("ids"), F.collect_list("vec").alias("vecs")))
     asked = points.filter(queries).select(F.col("id").alias("query"), F.col("v").alias("qvec"))
     state = saved(asked.select("query", "qvec", F.array("query").alias("ids"), F.array(F.lit(float("inf")).cast("float")).alias("scores"), F.array(F.lit(False)).alias("done")))
@@ -202,7 +211,7 @@ def search(points: DataFrame, graph: DataFrame, queries: Column, k: int = 20, be
     def score(b: pa.RecordBatch) -> dict[str, pa.Array]:
         out, n = [], []
         for vec, vecs in zip(b.column(1), b.column(3), strict=True):
-            x = np.stack([np.frombuffer(v, "f4") for v in vecs.as_py()])
+            x = np.stack([np.frombuffer(v, "f2") for v in vecs.as_py()]).astype("f4")
             out.append((x[:, :-1] @ np.array(vec.as_py(), "f4")).tolist())
             n.append(len(x))
         return {"query": b.column(0), "ids": b.column(2), "scores": pa.array(out, pa.list_(pa.float32()))}
@@ -237,7 +246,7 @@ def search(points: DataFrame, graph: DataFrame, queries: Column, k: int = 20, be
         if state.filter(F.exists("done", lambda x: ~x)).isEmpty():
             break
     # Exact scores for the best of the beam: some more than k, as the search scored in single precision.
-    found = state.select("query", "qvec", F.explode(F.slice("ids", 1, 2 * k + 1)).alias("id")).filter("query <> id")
+    found = state.select("query", "qvec", F.explode(F.slice("ids", 1, 2 * k + 11)).alias("id")).filter("query <> id")
     exact = found.join(points.select("id", "v"), "id").select("query", "id", F.aggregate(F.zip_with("qvec", "v", lambda a, x: a * x), F.lit(0.0), lambda a, x: a + x).alias("score"))
     w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     return exact.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query", "rank", "id", "score")
