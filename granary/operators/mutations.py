@@ -12,7 +12,7 @@ class KeyError_(ValueError):
 
 def insert_row(df: DataFrame, key: str, row: dict[str, object]) -> DataFrame:
     """Append a row; a duplicate key is refused, a key of None or 0 becomes the largest one plus 1."""
-    new = df.sparkSession.createDataFrame([{k: v for k, v in row.items() if k != key} | {"_": 0}])
+    new = df.sparkSession.range(1).select(*[F.lit(row.get(f.name)).cast(f.dataType).alias(f.name) for f in df.schema if f.name != key])
     if row.get(key):
         if not df.filter(F.col(key) == row[key]).isEmpty():
             raise KeyError_(f"key {row[key]} exists")
