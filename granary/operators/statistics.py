@@ -76,3 +76,29 @@ def intersection_cost(n: int, counts: list[int]) -> int:
 def union_cost(n: int, counts: list[int], keys: int = 0) -> int:
     """`keys`: branches on the primary key, which give one row each."""
     return sum(counts) * INDEX_ENTRY + ROW_FETCH * min(sum(counts) + keys, n)
+
+
+def at_most_estimates(df: DataFrame, c: str, wanted: DataFrame) -> DataFrame:
+    """For each distinct `value` of `wanted`: rows expected for c <= value, for a whole-number column.
+
+    A common value is exact; else the rank is interpolated between the samples around it.
+    """
+    # The samples and the common values are SAMPLES and COMMON_VALUES rows.
+    samples = depth_samples(df, c).select(F.struct("rank", F.col("value").alias("at")).alias("s"))
+    top = common_values(df, c).select("value", (F.col("rows_before") + F.col("freq")).alias("exact"))
+    total = df.agg(F.count(F.lit(1)).alias("total"))
+    under = F.col("s.at") <= F.col("value")
+    around = wanted.select("value").distinct().join(F.broadcast(samples), how="cross").groupBy("value").agg(F.max(F.when(under, F.col("s"))).alias("lo"), F.min(F.when(~under, F.col("s"))).alias("hi"))
+    between = F.expr("lo.rank + (hi.rank - lo.rank) * (value - lo.at) div (hi.at - lo.at) + 1")
+    est = F.when(F.col("exact").isNotNull(), F.col("exact")).when(F.col("lo").isNull(), 0).when(F.col("hi").isNull(), F.col("total")).otherwise(between)
+    return around.join(F.broadcast(top), "value", "left").join(F.broadcast(total), how="cross").select("value", est.cast("long").alias("est_rows"))
+
+
+def pair_estimates(df: DataFrame, a: str, b: str, wanted: DataFrame) -> DataFrame:
+    """For each pair (a, b) of `wanted`: rows expected to have both; a common pair is exact, others share the rest evenly."""
+    pairs, top = df.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count(F.lit(1)).alias("freq")), common_pairs(df, a, b)
+    whole = pairs.agg(F.coalesce(F.sum("freq"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("ndv"))
+    held = top.agg(F.coalesce(F.sum("freq"), F.lit(0)).alias("top_rows"), F.count(F.lit(1)).alias("top_n"))
+    rest = F.when(F.col("ndv") > F.col("top_n"), F.ceil((F.col("total") - F.col("top_rows")) / F.nullif(F.col("ndv") - F.col("top_n"), F.lit(0)))).otherwise(0)
+    out = wanted.join(F.broadcast(whole), how="cross").join(F.broadcast(held), how="cross").join(F.broadcast(top), ["a", "b"], "left")
+    return out.select("a", "b", F.coalesce("freq", rest).cast("long").alias("est_rows"))

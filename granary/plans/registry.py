@@ -369,6 +369,28 @@ def cost_choice(spark, d):
     return X.equality_estimates(table(spark, d, "part"), "p_size", spark.range(-5, 70).select(F.col("id").cast("int").alias("value")))
 
 
+@query(
+    f"WITH {FREQ}, r AS (SELECT p_size AS value, row_number() OVER (ORDER BY p_size) - 1 AS rank FROM part), n AS (SELECT count(*) AS n, least(33, count(*)) AS s FROM part), "
+    "s AS (SELECT r.rank AS rank, r.value AS at FROM range(33) i, n JOIN r ON r.rank = i.range * (n.n - 1) // (n.s - 1)), "
+    "q AS (SELECT CAST(range AS INT) AS value FROM range(-5, 70)), "
+    "b AS (SELECT q.value, max(s.rank) FILTER (s.at <= q.value) AS lr, max(s.at) FILTER (s.at <= q.value) AS la, min(s.rank) FILTER (s.at > q.value) AS hr, min(s.at) FILTER (s.at > q.value) AS ha FROM q, s GROUP BY q.value) "
+    "SELECT b.value AS value, CAST(CASE WHEN t.value IS NOT NULL THEN t.freq + coalesce((SELECT sum(f.freq) FROM f WHERE f.value < t.value), 0) WHEN lr IS NULL THEN 0 WHEN hr IS NULL THEN (SELECT n FROM n) "
+    "ELSE lr + (hr - lr) * (b.value - la) // (ha - la) + 1 END AS BIGINT) AS est_rows FROM b LEFT JOIN t ON t.value = b.value"
+)
+def stats_range_estimate(spark, d):
+    return X.at_most_estimates(table(spark, d, "part"), "p_size", spark.range(-5, 70).select(F.col("id").cast("int").alias("value")))
+
+
+@query(
+    "WITH p AS (SELECT p_brand AS a, p_type AS b, count(*) AS freq FROM part GROUP BY ALL), t AS (SELECT * FROM p ORDER BY freq DESC, a, b LIMIT 32), "
+    "w AS (SELECT sum(freq) AS total, count(*) AS ndv FROM p), h AS (SELECT sum(freq) AS tr, count(*) AS tn FROM t), q AS (SELECT DISTINCT p_brand AS a, p_type AS b FROM part WHERE p_size < 10) "
+    "SELECT q.a AS a, q.b AS b, CAST(coalesce(t.freq, CASE WHEN ndv > tn THEN ceil((total - tr) / (ndv - tn)) ELSE 0 END) AS BIGINT) AS est_rows FROM q CROSS JOIN w CROSS JOIN h LEFT JOIN t ON t.a = q.a AND t.b = q.b"
+)
+def stats_pair_estimate(spark, d):
+    part = table(spark, d, "part")
+    return X.pair_estimates(part, "p_brand", "p_type", part.filter("p_size < 10").select(F.col("p_brand").alias("a"), F.col("p_type").alias("b")).distinct())
+
+
 # Mutations: the table after the statement.
 @query("SELECT n_nationkey, CASE WHEN n_regionkey = 1 OR n_name LIKE 'C%' THEN 'moved' ELSE n_name END AS n_name, n_regionkey FROM nation")
 def dml_update(spark, d):
