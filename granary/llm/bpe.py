@@ -36,7 +36,7 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPACE = "[\t-\r \x85\xa0  -     　]+"
 END = "</w>"
 #: Most entries kept of each table; beyond that it starts anew. It only saves work.
-TABLE = 250_000
+TABLE = 500_000
 
 
 def byte_symbols() -> list[str]:
@@ -85,7 +85,7 @@ class Automaton:
                 s = ends[k]
                 if k:
                     if (go := arcs.get((s, t))) is None:
-                        if len(arcs) >= 4 * TABLE:
+                        if len(arcs) >= 2 * TABLE:
                             arcs.clear()
                         go = arcs[s, t] = self.arc(s, t, len(self.merged))
                     if not go:
@@ -102,6 +102,23 @@ class Automaton:
         return out[::-1]
 
 
+class Chunks(dict):
+    """What stands between white space, with its tokens' number, ids and labels."""
+
+    def __init__(self, tokenizer: Tokenizer):
+        super().__init__()
+        self.tokenizer = tokenizer
+
+    def __missing__(self, c: str) -> tuple[int, str, str]:
+        got = [self.tokenizer.word(w) for w in self.tokenizer.words.findall(c)]
+        hit = sum(g[0] for g in got), " ".join(g[1] for g in got), " ".join(g[2] for g in got)
+        if len(c) < 100:
+            if len(self) >= TABLE:
+                self.clear()
+            self[c] = hit
+        return hit
+
+
 class Tokenizer:
     """A tokenizers-library file of this kind: NFC, white space, lower case; split words; byte-level BPE with word ends."""
 
@@ -115,11 +132,11 @@ class Tokenizer:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.words, self.space, self.symbols = regex.compile(WORDS), regex.compile(SPACE), byte_symbols()
         self.word_table: dict[str, tuple[int, str, str]] = {}
-        self.chunk_table: dict[str, tuple[int, str, str]] = {}
+        self.chunks = Chunks(self)
 
     def word(self, w: str) -> tuple[int, str, str]:
         if (hit := self.word_table.get(w)) is None:
-            if len(self.word_table) >= TABLE:
+            if len(self.word_table) >= TABLE // 2:
                 self.word_table.clear()
             s = [self.symbols[b] for b in w.encode("utf-8", "surrogatepass")]
             s[-1] += END
@@ -129,35 +146,28 @@ class Tokenizer:
                 self.word_table[w] = hit
         return hit
 
-    def chunk(self, c: str) -> tuple[int, str, str]:
-        """What stands between white space."""
-        got = [self.word(w) for w in self.words.findall(c)]
-        hit = sum(g[0] for g in got), " ".join(g[1] for g in got), " ".join(g[2] for g in got)
-        if len(c) < 100:
-            if len(self.chunk_table) >= TABLE:
-                self.chunk_table.clear()
-            self.chunk_table[c] = hit
-        return hit
-
-    def runs(self, text: str) -> Iterator[tuple[int, str, str]]:
+    def pieces(self, text: str) -> list[tuple[int, str, str]]:
         """(number of tokens, ids, labels) of stretches of the text, ids and labels joined by spaces."""
+        out = []
         for part in self.cut.split(text) if self.cut and any(s in text for s in self.special) else [text]:
             if part in self.special:
-                yield 1, str(self.special[part]), part
+                out.append((1, str(self.special[part]), part))
                 continue
             if not part.isascii():
                 part = unicodedata.normalize("NFC", part).replace("Σ", "σ")  # no final-sigma rule in lower()
             part = part.lower()
             # str.split() also splits at four control characters that are no white space here.
             chunks = part.split() if not any(c in part for c in "\x1c\x1d\x1e\x1f") else [c for c in self.space.split(part) if c]
-            table = self.chunk_table
-            for c in chunks:
-                yield table.get(c) or self.chunk(c)
+            out += map(self.chunks.__getitem__, chunks)
+        return out
 
     def encode(self, text: str | None) -> tuple[int, str, str]:
         """Number of tokens, ids joined by spaces, and the decoded text: the labels joined by spaces."""
-        got = list(self.runs(text or ""))
-        return sum(g[0] for g in got), " ".join([g[1] for g in got if g[0]]), " ".join([g[2] for g in got if g[0]])
+        got = self.pieces(text or "")
+        if not got:
+            return 0, "", ""
+        n, ids, labels = zip(*got, strict=True)
+        return sum(n), " ".join(ids), " ".join(labels)
 
     def decode(self, ids: list[int]) -> str:
         return " ".join(self.label[i] for i in ids if i in self.label)

@@ -37,8 +37,8 @@ from .vectors import by_rows
 
 LENGTH, GRAM = 200, 32
 PIECE = 1 << 17  # window starts at a time
-HOT = 256  # contents of an anchor beyond which its windows are counted one by one
-PER_BUCKET, RUN = 12_000, 20_000
+PER_BUCKET, RUN = 12_000, 20_000  # contents merged by one task, and sorted into one set of runs
+HOT = PER_BUCKET  # contents of an anchor that would make a bucket of their own: its windows are counted one by one
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 

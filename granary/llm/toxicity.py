@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from . import labelled
 from .common import fresh
 
-BUCKETS, DIM, SIZES, WINDOW, TABLE = 1 << 16, 12, (3, 4, 5), 4, 250_000
+BUCKETS, DIM, SIZES, WINDOW, TABLE = 1 << 16, 12, (3, 4, 5), 4, 600_000
 MARKS = ".,;:!?\"'()[]{}|*#%&$<>-_"
 #: The sample that the model is fitted on: documents per class and characters of each.
 PER_CLASS, CHARS = 2000, 20_000
@@ -34,6 +34,9 @@ PER_CLASS, CHARS = 2000, 20_000
 def subwords(word: str) -> list[int]:
     w = f"<{word[:60]}>"
     n = len(w)
+    if w.isascii():
+        b = w.encode()
+        return [crc32(b) % BUCKETS] + [crc32(b[i : i + k]) % BUCKETS for k in SIZES for i in range(n - k + 1)]
     grams = [w] + [w[i : i + k] for k in SIZES for i in range(n - k + 1)]
     return [crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in grams]
 
@@ -42,6 +45,34 @@ def split(text: str) -> list[str]:
     return text.lower().split()
 
 
+class Words(dict):
+    """Words to rows of `values`: the sum of the word's subwords' shares, and their number."""
+
+    def __init__(self, share: np.ndarray):
+        super().__init__()
+        self.share, self.values = share.tolist(), np.zeros((1 << 12, 2))
+
+    def __missing__(self, w: str) -> int:
+        bare = w.strip(MARKS)
+        ids = subwords(bare) if bare else []
+        i = len(self)
+        if i == len(self.values):
+            self.values = np.concatenate([self.values, np.zeros_like(self.values)])
+        self.values[i] = sum(map(self.share.__getitem__, ids)), len(ids)
+        self[w] = i
+        return i
+
+    def rows(self, words: list[str]) -> np.ndarray:
+        out = []
+        for k in range(0, len(words), TABLE):
+            if len(self) > TABLE:
+                self.clear()
+            part = words[k : k + TABLE]
+            at = np.fromiter(map(self.__getitem__, part), np.int64, len(part))
+            out.append(self.values[at])
+        return np.concatenate(out) if out else np.zeros((0, 2))
+
+
 @dataclass
 class Model:
     share: np.ndarray  # per bucket: what its embedding adds to toxic less clean
@@ -50,28 +81,21 @@ class Model:
     shift: float
 
     def __post_init__(self) -> None:
-        self.table: dict[str, tuple[float, int]] = {}
+        self.table = Words(self.share)
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "table"}
 
     def __setstate__(self, state: dict) -> None:
-        self.__dict__.update(state, table={})
-
-    def word(self, w: str) -> tuple[float, int]:
-        if (hit := self.table.get(w)) is None:
-            ids = subwords(w.strip(MARKS)) if w.strip(MARKS) else []
-            hit = (float(self.share[ids].sum()), len(ids)) if ids else (0.0, 0)
-            if len(self.table) >= TABLE:
-                self.table.clear()
-            if len(w) < 80:
-                self.table[w] = hit
-        return hit
+        self.__dict__.update(state)
+        self.__post_init__()
 
     def windows(self, text: str) -> np.ndarray:
         """The logit of every window of consecutive words."""
-        got = [self.word(w) for w in split(text)]
-        got = np.array([g for g in got if g[1]] or [(0.0, 1)])
+        got = self.table.rows(split(text))
+        got = got[got[:, 1] > 0]
+        if not len(got):
+            return np.array([self.bias])
         sums = np.vstack([np.zeros((1, 2)), np.cumsum(got, axis=0)])
         k = min(WINDOW, len(got))
         part = sums[k:] - sums[:-k]

@@ -47,7 +47,7 @@ def test_hard_texts(spark, monkeypatch):
         k = rng.randrange(60)
         texts[i] = word(rng.randrange(80)) + shared[k : k + rng.randrange(15, 90)] + word(rng.randrange(80)) + texts[8][k * 7 : k * 7 + rng.randrange(60)]
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").selectExpr("*", "1 as doc", "2 as anchor")
-    for hot, piece in ((256, 1 << 17), (1, 1 << 17), (4, 64)):
+    for hot, piece in ((12_000, 1 << 17), (1, 1 << 17), (4, 64)):
         monkeypatch.setattr(D, "HOT", hot)
         monkeypatch.setattr(D, "PIECE", piece)
         monkeypatch.setattr(D, "RUN", 40)
