@@ -8,11 +8,14 @@ A document scores by its highest windows, put through a logistic fitted on the s
 
 After averaging everything is linear, so a word's share is one number and one count, kept in a table while scoring;
 windows are sums over those. Misspellings and new endings share n-grams with the words seen.
+A run of over LONG characters without white space is cut at marks, then every LONG characters with an overlap that keeps
+every n-gram, and each piece is a word, in the fit as in scoring.
 Null and empty texts have no windows and get the score of a clean text. Rows are scored one by one, whole.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
@@ -27,12 +30,13 @@ from .common import fresh
 
 BUCKETS, DIM, SIZES, WINDOW, TABLE = 1 << 16, 12, (3, 4, 5), 4, 600_000
 MARKS = ".,;:!?\"'()[]{}|*#%&$<>-_"
+LONG, CUTS = 60, re.compile(f"[{re.escape(MARKS)}/\\\\=+@~^`、。，；：！？]+")
 #: The sample that the model is fitted on: documents per class and characters of each.
 PER_CLASS, CHARS = 2000, 20_000
 
 
 def subwords(word: str) -> list[int]:
-    w = f"<{word[:60]}>"
+    w = f"<{word}>"
     n = len(w)
     if w.isascii():
         b = w.encode()
@@ -42,7 +46,16 @@ def subwords(word: str) -> list[int]:
 
 
 def split(text: str) -> list[str]:
-    return text.lower().split()
+    words = text.lower().split()
+    if not words or max(map(len, words)) <= LONG:
+        return words
+    return [p for w in words for p in ([w] if len(w) <= LONG else pieces(w))]
+
+
+def pieces(run: str) -> list[str]:
+    """All of a long run, in words of at most LONG characters."""
+    lap = max(SIZES) - 1
+    return [p[i : i + LONG] for p in CUTS.split(run) for i in range(0, max(1, len(p) - lap), LONG - lap) if p]
 
 
 class Words(dict):

@@ -70,3 +70,21 @@ def test_a_misspelling_is_near_its_word():
     m = toxicity.fit([(t, 1) for t in bad] * 40 + [(t, 0) for t in good] * 40, rounds=2, steps=40)
     assert m.score("you morron stop") > 0.5 > m.score("river runs north to the sea")
     assert m.windows("").shape == (1,)
+
+
+def test_all_of_a_long_run_counts():
+    bad, good = ["you moron stop that", "what a moron you are"], ["the river runs to the sea", "a warm day in the north"]
+    m = toxicity.fit([(t, 1) for t in bad] * 40 + [(t, 0) for t in good] * 40, rounds=2, steps=40)
+    river = "the river runs to the sea a warm day in the north "
+    for mark in ",-_./":
+        run = (river * 3).strip().replace(" ", mark)
+        assert m.score(run + mark + mark.join("you moron stop that what a moron".split())) > 0.5 > m.score(run)
+    run = (river * 3).replace(" ", "")
+    assert m.raw(run + "youmoronstopthatwhatamoronyouare" * 2) > m.raw(run) and len(m.windows(run * 50)) > 50
+    # Every n-gram of an unmarked run is in a piece.
+    long = "".join(chr(0x4E00 + i) for i in range(1000))
+    parts = toxicity.split(long)
+    assert all(any(long[i : i + 5] in p for p in parts) for i in range(996)) and max(map(len, parts)) == 60
+    # In the fit too: the toxic words stand only behind 60 characters of a run.
+    hidden = toxicity.fit([(good[0].replace(" ", ",") * 4 + ",you,moron,stop", 1)] * 40 + [(t, 0) for t in good] * 40, rounds=2, steps=40)
+    assert hidden.score("you moron stop") > 0.5
