@@ -21,6 +21,25 @@ from .common import fresh
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 BASE = KINDS[:4]
 
+#: The length of an IBAN by country.
+LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def iban() -> str:
+    """The head of an IBAN, country and check digits, before the rest of its country's length: group 1 is all of it.
+
+    As only heads are taken from the text, one that fails its check hides no other. Codes of no listed country take any length.
+    """
+    known = "|".join(LENGTHS.values()).replace(" ", "|")
+    rest = [rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{{n // 4 - 1}}}" + rf"\x20?[A-Z0-9]{{{n % 4}}}" * (n % 4 > 0) for n, c in LENGTHS.items()]
+    other = rf"(?!{known})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{2,7}}(?:\x20?[A-Z0-9]{{1,3}})?"
+    return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?=((?:{'|'.join([*rest, other])})(?![A-Za-z0-9])))[A-Z]{{2}}[0-9]{{2}}"
+
+
 #: The patterns. Each is the base pattern with possessive repeats and a start that is tried once per run of
 #: its characters (or right after the match before), which finds the same leftmost matches in linear time.
 PATTERNS = {
@@ -28,7 +47,7 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": iban(),
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 #: A text without this can't have a span of the kind.
@@ -44,6 +63,8 @@ WORDS = {
     "ssn": ("ssn", "social", "security", "tax"),
 }
 WINDOW, BOOST, BLOCK = 40, 0.2, 256
+#: A match has two characters at least, so this many reach over the window.
+BACK = WINDOW // 2
 
 
 def luhn(digits: Column) -> Column:
@@ -80,11 +101,12 @@ def confirmed(kind: str, m: Column) -> Column:
 
 
 def pieces(text: Column, kind: str) -> Column:
-    """[(gap, len, m, ctx)]: the matches, each with the length and the end of the text since the match before."""
+    """[(gap, pre, len, own, m)]: the matches with the length and the end of the text since the one before; `m` may go on behind `own`."""
     p = F.lit(PATTERNS[kind])
+    own = F.regexp_extract_all(text, p, F.lit(0))
     both = F.zip_with(
-        F.split(text, PATTERNS[kind], -1), F.regexp_extract_all(text, p, F.lit(0)),
-        lambda o, m: F.struct(F.length(o).alias("gap"), F.length(m).alias("len"), m.alias("m"), F.when(m.isNotNull(), F.lower(F.substring(o, -WINDOW, WINDOW))).alias("ctx")),
+        F.split(text, PATTERNS[kind], -1), F.arrays_zip(own.alias("own"), F.regexp_extract_all(text, p, F.lit(1)).alias("m")) if kind == "iban" else F.transform(own, lambda m: F.struct(m.alias("own"), m.alias("m"))),
+        lambda o, x: F.struct(F.length(o).alias("gap"), F.substring(o, -WINDOW, WINDOW).alias("pre"), F.length(x["own"]).alias("len"), x["own"].alias("own"), x["m"].alias("m")),
     )
     has = F.contains(text, F.lit("@")) if kind == "email" else text.rlike(NEEDS[kind])
     return F.when(has, F.filter(both, lambda x: x["m"].isNotNull()))
@@ -95,11 +117,13 @@ def placed(items: Column, kind: str) -> Column:
     words = WORDS[kind]
 
     def step(acc: Column, x: Column) -> Column:
-        at = acc["at"] + x["gap"]
-        near = reduce(lambda a, b: a | b, [F.contains(x["ctx"], F.lit(w)) for w in words])
+        at, before = acc["at"] + x["gap"], F.concat(acc["before"], x["pre"])
+        ctx = F.lower(F.right(before, F.lit(WINDOW)))
+        near = reduce(lambda a, b: a | b, [F.contains(ctx, F.lit(w)) for w in words])
         score = F.least(F.lit(1.0), F.lit(PRIOR[kind]) + F.when(near, BOOST).otherwise(0.0))
-        span = F.struct(F.lit(kind).alias("kind"), at.alias("start"), (at + x["len"]).alias("end"), score.alias("score"))
-        return F.struct((at + x["len"]).alias("at"), F.when(confirmed(kind, x["m"]), F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+        span = F.struct(F.lit(kind).alias("kind"), at.alias("start"), (at + F.length(x["m"])).alias("end"), score.alias("score"))
+        spans = F.when(confirmed(kind, x["m"]), F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
+        return F.struct((at + x["len"]).alias("at"), F.right(F.concat(before, x["own"]), F.lit(WINDOW)).alias("before"), spans.alias("spans"))
 
     def lengths(block: Column) -> Column:
         return F.aggregate(block, F.lit(0).cast("long"), lambda s, x: s + x["gap"] + x["len"])
@@ -108,7 +132,10 @@ def placed(items: Column, kind: str) -> Column:
     # Blocks and where each begins: sums of whole blocks first, so no list longer than a block is copied per match.
     blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int")), lambda b: F.slice(items, b * BLOCK + 1, F.lit(BLOCK)))
     starts = F.aggregate(blocks, F.array(F.lit(0).cast("long")), lambda s, b: F.concat(s, F.array(F.element_at(s, -1) + lengths(b))))
-    found = F.zip_with(blocks, starts, lambda b, s: F.when(b.isNotNull(), F.aggregate(b, F.struct(s.alias("at"), none.alias("spans")), step)["spans"]).otherwise(none))
+    # The text before a block, of the last matches of the block before.
+    ends = F.transform(blocks, lambda b: F.right(F.array_join(F.transform(F.slice(b, -F.least(F.size(b), F.lit(BACK)), F.lit(BACK)), lambda x: F.concat(x["pre"], x["own"])), ""), F.lit(WINDOW)))
+    begins = F.zip_with(starts, F.concat(F.array(F.lit("")), ends), lambda s, t: F.struct(s.alias("at"), t.alias("before"), none.alias("spans")))
+    found = F.zip_with(blocks, begins, lambda b, s: F.when(b.isNotNull(), F.aggregate(b, s, step)["spans"]).otherwise(none))
     return F.when(F.size(items) > 0, F.flatten(found)).otherwise(none)
 
 

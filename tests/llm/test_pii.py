@@ -59,3 +59,27 @@ def test_query(spark):
         want = plain(texts[r.doc_id])
         assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in want).encode()).hexdigest()
         assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == x for k, _, _ in want) for x in P)
+
+
+IBANS = [
+    "IBAN {ES91 2100 0418 4502 0005 1332} BIC CAIXESBB", "{BE71 0961 2345 6769} AND", "{AT61 1904 3002 3457 3201} BANK", "ES91 2100 0418 4502 0005 1333 X", "{ES9121000418450200051332} 12",
+    "ref AB12 {BE71 0961 2345 6769}", "ES12 {ES91 2100 0418 4502 0005 1332} {GB82 WEST 1234 5698 7654 32} A", "{MT84 MALT 0110 0001 2345 MTLC AST0 01S} X {NO93 8601 1117 947} {DE89 3704 0044 0532 0130 00} EUR",
+    "ssn {123-45-6789}, {223-45-6789}, {323-45-6789}" + " none" * 12 + " 523-45-6789", "SSN " + " ".join(["{123-45-6789}"] * 3), "{BE71 0961 2345 6769} " * 700,
+]
+
+
+def test_what_follows_or_precedes_hides_nothing(spark):
+    plainly = [t.replace("{", "").replace("}", "") for t in IBANS]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(plainly)], "doc_id long, text string")
+    spans = {r.doc_id: [(x.start, x.end) for x in r.pii if x.kind in ("iban", "ssn")] for r in pii.find_pii(df).collect()}
+    want = {i: [(m.start() - 2 * k, m.end() - 2 * k - 2) for k, m in enumerate(re.finditer(r"\{[^}]*\}", t))] for i, t in enumerate(IBANS)}
+    assert spans == want
+    out = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert out[0] == "IBAN <IBAN> BIC CAIXESBB" and out[1] == "<IBAN> AND" and out[9] == "SSN <SSN> <SSN> <SSN>"
+
+
+def test_context_goes_on_over_blocks(spark):
+    far = "523-45-6789 " * (pii.BLOCK - 2)
+    df = spark.createDataFrame([(1, far + "ssn 123-45-6789 " + "123-45-6789 " * 5)], "doc_id long, text string")
+    # The word is within 40 characters of the first four, of which two are in the next block.
+    assert [x.start - len(far) for x in pii.find_pii(df).first().pii] == [4, 16, 28, 40]
