@@ -2,11 +2,12 @@
 
 Every line gets features of its own (shares of character kinds, word lengths and repeats, runs of one word, whether the
 line stood before) and those of the lines next to it. The field labels each line good or bad, with transitions between
-lines; it is fitted in numpy on a sample of labelled documents whose lines start with the document's label, after which
-the lines of bad documents are weighed once more by what the first fit says. Forward-backward marginals, weighted by the
-lines' lengths, give the document's share of good text, and a logistic on it gives the score.
+lines. It is fitted in numpy on a sample of whole labelled documents: their lines start with the document's label, and
+between fits the lines of bad documents are labelled anew by the best label sequence that holds a bad line, so that
+sequences which change within a document teach the transitions. Forward-backward marginals, weighted by the lines'
+lengths, give the document's share of good text, and a logistic on it gives the score.
 
-Very long lines are described in pieces of at most PIECE bytes, so memory stays bounded and nothing is left out.
+Lines are whole, whatever their length; for the fit a document of over SPAN lines is cut into chains of that many.
 Null and empty texts count as one empty line. Rows are scored one by one, whole; repeats and ties score alike.
 """
 
@@ -24,9 +25,10 @@ from . import labelled
 from .common import fresh
 from .toxicity import logistic
 
-#: The sample that the model is fitted on: documents per class and characters of each.
-PER_CLASS, CHARS = 1500, 20_000
-PIECE = 1 << 16
+#: The sample that the model is fitted on: whole documents per class.
+PER_CLASS = 1500
+#: Bytes counted at a time, lines of a chain in the fit, and lines of a padded batch: these bound memory.
+PIECE, SPAN, PADDED = 1 << 16, 200, 20_000
 
 
 def byte_kinds() -> np.ndarray:
@@ -43,7 +45,12 @@ KIND, KINDS, OWN = byte_kinds(), 10, 20
 
 
 def lines_of(text: str) -> list[bytes]:
-    return [s[i : i + PIECE] for s in text.encode("utf-8", "surrogatepass").split(b"\n") for i in range(0, max(1, len(s)), PIECE)]
+    return text.encode("utf-8", "surrogatepass").split(b"\n")
+
+
+def kinds_of(line: bytes) -> np.ndarray:
+    """How many bytes of each kind a line has."""
+    return sum(np.bincount(KIND[np.frombuffer(line[i : i + PIECE], np.uint8)], minlength=KINDS) for i in range(0, len(line), PIECE))
 
 
 def own_features(lines: list[bytes]) -> np.ndarray:
@@ -54,7 +61,7 @@ def own_features(lines: list[bytes]) -> np.ndarray:
         if not n:
             row[2] = 1.0
             continue
-        share = np.bincount(KIND[np.frombuffer(s, np.uint8)], minlength=KINDS) / n
+        share = kinds_of(s) / n
         row[3 : 3 + KINDS] = np.sqrt(share)
         words = s.split()
         if words:
@@ -145,61 +152,74 @@ def gradients(x: np.ndarray, y: np.ndarray, mask: np.ndarray, line_w: np.ndarray
     return dw, dt
 
 
-def fit(rows: list[tuple[str, int]], most_lines: int = 120, steps: int = 80, seed: int = 7) -> Model:
-    """Train on (text, 0 or 1); only the first `most_lines` lines of a sampled text take part in the fit."""
+def best_with_bad(u: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """The likeliest labels (1 good) of a document's lines among those that hold a bad line, by Viterbi.
+
+    States: 0 bad, 1 good after a bad line, 2 good with none so far; the last state may not be 2.
+    """
+    n = len(u)
+    step = np.array([[trans[0, 0], trans[0, 1], -np.inf], [trans[1, 0], trans[1, 1], -np.inf], [trans[1, 0], -np.inf, trans[1, 1]]])
+    at, back = np.array([0.0, -np.inf, u[0]]), np.zeros((n, 3), np.int64)
+    for t in range(1, n):
+        via = at[:, None] + step
+        back[t] = via.argmax(0)
+        at = via.max(0) + np.array([0.0, u[t], u[t]])
+    state, out = int(at[:2].argmax()), np.zeros(n)
+    for t in range(n - 1, -1, -1):
+        out[t] = state > 0
+        state = back[t, state]
+    return out
+
+
+def batched(docs: list[np.ndarray], y: list[np.ndarray], weight: list[float]) -> list[list[np.ndarray]]:
+    """Chains of SPAN lines at most as padded (features, labels, mask, line weights), alike in length, of PADDED lines."""
+    chains = sorted(((x[k : k + SPAN], v[k : k + SPAN], w / len(x)) for x, v, w in zip(docs, y, weight, strict=True) for k in range(0, len(x), SPAN)), key=lambda c: len(c[0]))
+    out, k = [], 0
+    while k < len(chains):
+        n = 1
+        while k + n < len(chains) and (n + 1) * len(chains[k + n][0]) <= PADDED:
+            n += 1
+        part, t = chains[k : k + n], len(chains[k + n - 1][0])
+        x, mask, label, line = np.zeros((n, t, 3 * OWN), "f4"), *np.zeros((3, n, t), "f4")
+        for i, (f, v, w) in enumerate(part):
+            x[i, : len(f)], mask[i, : len(f)], label[i, : len(f)], line[i, : len(f)] = f, 1, v, w
+        out.append([x, label, mask, line])
+        k += n
+    return out
+
+
+def fit(rows: list[tuple[str, int]], rounds: int = 3, steps: int = 60) -> Model:
+    """Train on (text, 0 or 1), whole texts."""
     wide = 3 * OWN
     if len({y for _, y in rows}) < 2:
         return Model(np.zeros(wide), np.zeros((2, 2)), 0.0, 4.0 if not rows or rows[0][1] else -4.0)
-    docs = [(features(t)[0][:most_lines], y) for t, y in rows]
-    docs.sort(key=lambda d: len(d[0]))
-    label = np.array([y for _, y in docs])
-    share = np.array([0.5 / max(1, (label == v).sum()) for v in (0, 1)])
-    batches = []
-    for k in range(0, len(docs), 500):
-        part = docs[k : k + 500]
-        t = max(len(x) for x, _ in part)
-        x, mask = np.zeros((len(part), t, wide), "f4"), np.zeros((len(part), t), "f4")
-        for i, (f, _) in enumerate(part):
-            x[i, : len(f)], mask[i, : len(f)] = f, 1
-        y = np.repeat(np.array([[v] for _, v in part], "f4"), t, 1)
-        weight = share[y[:, 0].astype(int)][:, None] / mask.sum(1, keepdims=True) * np.ones_like(mask)
-        batches.append([x, y, mask, weight])
+    docs, label = [features(t)[0] for t, _ in rows], np.array([y for _, y in rows])
+    share = [0.5 / (label == v).sum() for v in (0, 1)]
     w, trans = np.zeros(wide), np.zeros((2, 2))
-    for turn in range(2):
+    for turn in range(rounds):
+        y = [best_with_bad(x @ w, trans) if turn and not v else np.full(len(x), float(v)) for x, v in zip(docs, label, strict=True)]
+        batches = batched(docs, y, [share[v] for v in label])
         m1, m2 = [np.zeros_like(w), np.zeros_like(trans)], [np.zeros_like(w), np.zeros_like(trans)]
         for s in range(1, steps + 1):
             dw, dt = (sum(g) for g in zip(*[gradients(*b, w, trans) for b in batches], strict=True))
-            for k, (v, g) in enumerate(((w, dw - 1e-4 * w), (trans, dt - 1e-4 * trans))):
+            # The first fit is of lines alone: sequences of one label would teach that labels never change.
+            for k, (v, g) in enumerate(((w, dw - 1e-4 * w), (trans, dt - 1e-4 * trans))[: 1 + (turn > 0)]):
                 m1[k] = 0.9 * m1[k] + 0.1 * g
                 m2[k] = 0.99 * m2[k] + 0.01 * g * g
                 v += 0.15 * (m1[k] / (1 - 0.9**s)) / (np.sqrt(m2[k] / (1 - 0.99**s)) + 1e-8)
-        if turn == 0:  # a bad document's lines may be partly fine: weigh the doubtful ones less
-            for b in batches:
-                p = 1 / (1 + np.exp(-np.clip(b[0] @ w, -30, 30)))
-                b[3] = b[3] * np.where(b[1] == 0, np.maximum(1 - p, 0.05), 1)
     model = Model(w, trans, 1.0, 0.0)
     raw = np.array([model.raw(t) for t, _ in rows])
-    model.slope, model.shift = logistic(raw, np.array([y for _, y in rows], float))
+    model.slope, model.shift = logistic(raw, label.astype(float))
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, chars: int = CHARS) -> Model:
-    return fit(labelled.sample(docs, labels, "quality", per_class, chars))
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
+    return fit(labelled.sample(docs, labels, "quality", per_class))
 
 
 def scored(df: DataFrame, model: Model, text: str = "text", out: str = "quality_score") -> DataFrame:
     """`df` with a score from 0 to 1."""
-    if out.lower() in {c.lower() for c in df.columns}:
-        raise ValueError(f"column {out} exists")
-    held = df.sparkSession.sparkContext.broadcast(model)  # some 60 numbers
-    at = df.columns.index(text)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = held.value
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([m.score(t.as_py()) for t in b.column(at)], pa.float64())], names=[*b.schema.names, out])
-
-    return df.mapInArrow(run, ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema], f"`{out}` double"]))
+    return labelled.with_score(df, model, text, out)
 
 
 def line_labels(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -16,23 +16,23 @@ Null and empty texts have no windows and get the score of a clean text. Rows are
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import labelled
 from .common import fresh
 
-BUCKETS, DIM, SIZES, WINDOW, TABLE = 1 << 16, 12, (3, 4, 5), 4, 600_000
+BUCKETS, DIM, SIZES, WINDOW = 1 << 16, 12, (3, 4, 5), 4
+#: Most words whose sums are kept at a time, and words looked up at a time; these bound memory and change no score.
+TABLE, PART = 250_000, 20_000
 MARKS = ".,;:!?\"'()[]{}|*#%&$<>-_"
 LONG, CUTS = 60, re.compile(f"[{re.escape(MARKS)}/\\\\=+@~^`、。，；：！？]+")
-#: The sample that the model is fitted on: documents per class and characters of each.
-PER_CLASS, CHARS = 2000, 20_000
+#: The sample that the model is fitted on: whole documents per class.
+PER_CLASS = 2000
 
 
 def subwords(word: str) -> list[int]:
@@ -71,16 +71,17 @@ class Words(dict):
         i = len(self)
         if i == len(self.values):
             self.values = np.concatenate([self.values, np.zeros_like(self.values)])
-        self.values[i] = sum(map(self.share.__getitem__, ids)), len(ids)
+        self.values[i, 0], self.values[i, 1] = sum(map(self.share.__getitem__, ids)), len(ids)
         self[w] = i
         return i
 
     def rows(self, words: list[str]) -> np.ndarray:
         out = []
-        for k in range(0, len(words), TABLE):
+        for k in range(0, len(words), PART):
             if len(self) > TABLE:
                 self.clear()
-            part = words[k : k + TABLE]
+                self.values = np.zeros((1 << 12, 2))
+            part = words[k : k + PART]
             at = np.fromiter(map(self.__getitem__, part), np.int64, len(part))
             out.append(self.values[at])
         return np.concatenate(out) if out else np.zeros((0, 2))
@@ -253,23 +254,13 @@ def fit(rows: list[tuple[str, int]], rounds: int = 4, steps: int = 150, batch: i
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, chars: int = CHARS) -> Model:
-    return fit(labelled.sample(docs, labels, "toxic", per_class, chars))
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
+    return fit(labelled.sample(docs, labels, "toxic", per_class))
 
 
 def scored(df: DataFrame, model: Model, text: str = "text", out: str = "toxicity") -> DataFrame:
     """`df` with a score from 0 to 1."""
-    if out.lower() in {c.lower() for c in df.columns}:
-        raise ValueError(f"column {out} exists")
-    held = df.sparkSession.sparkContext.broadcast(model)  # one number per bucket
-    at = df.columns.index(text)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = held.value
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([m.score(t.as_py()) for t in b.column(at)], pa.float64())], names=[*b.schema.names, out])
-
-    return df.mapInArrow(run, ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema], f"`{out}` double"]))
+    return labelled.with_score(df, model, text, out)
 
 
 def without_toxic(df: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:

@@ -62,6 +62,9 @@ def test_edges(spark):
     assert toxicity.without_toxic(df, toxicity.train(df, none)).columns == df.columns
     assert quality.good_only(df, quality.train(df, none)).count() == len(texts)
     assert quality.line_labels(df.filter("doc_id = 5"), quality.train(df, none)).count() == 5002
+    # Two texts with one id, repeated labels and one id with both labels: a defined sample, the same each time.
+    labels = spark.createDataFrame([(5, 1, 0), (5, 1, 0), (5, 0, 0), (4, 0, 1), (77, 1, 1)], none.schema)
+    assert labelled.sample(df, labels, "quality", 10) == labelled.sample(df.repartition(3), labels, "quality", 10)
     assert df.select(labelled.held_out(df.doc_id).alias("h")).filter("h is null").count() == 0
 
 
@@ -88,3 +91,66 @@ def test_all_of_a_long_run_counts():
     # In the fit too: the toxic words stand only behind 60 characters of a run.
     hidden = toxicity.fit([(good[0].replace(" ", ",") * 4 + ",you,moron,stop", 1)] * 40 + [(t, 0) for t in good] * 40, rounds=2, steps=40)
     assert hidden.score("you moron stop") > 0.5
+
+
+def explicit_quality(model, text):
+    """Length-weighted probability of good lines over all label sequences, through the logistic."""
+    x, weight = quality.features(text)
+    u, n = x @ model.w, len(x)
+    p, total = np.zeros(n), 0.0
+    for y in itertools.product((0, 1), repeat=n):
+        v = np.exp(sum(u[i] * y[i] for i in range(n)) + sum(model.trans[a, b] for a, b in itertools.pairwise(y)))
+        total += v
+        p += v * np.array(y)
+    return 1 / (1 + np.exp(-(model.slope * (p / total @ weight) / weight.sum() + model.shift)))
+
+
+def test_quality_scores_against_all_label_sequences(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality.train(docs, labels)
+    assert (model.trans[0, 0] + model.trans[1, 1]) > (model.trans[0, 1] + model.trans[1, 0])
+    short = docs.filter("length(text) - length(replace(text, '\n', '')) < 9").orderBy("doc_id").limit(120)
+    got = quality.scored(short.unionByName(docs.filter("doc_id < 0")), model).collect()
+    assert len(got) == 120
+    for r in got:
+        assert abs(r.quality_score - explicit_quality(model, r.text)) < 1e-6
+
+
+def test_labels_change_within_bad_documents():
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        u, trans = rng.normal(size=5) * 2, rng.normal(size=(2, 2))
+        score = lambda y: sum(u[i] * y[i] for i in range(5)) + sum(trans[a, b] for a, b in itertools.pairwise(y))
+        want = max((y for y in itertools.product((0, 1), repeat=5) if 0 in y), key=score)
+        assert tuple(quality.best_with_bad(u, trans)) == want
+    good, bad = "The river runs to the sea, and the town lies on it.", "WIN!! $$$ NOW!! ### FREE!! $$$"
+    m = quality.fit([("\n".join([good] * 8), 1)] * 30 + [("\n".join([good] * 4 + [bad] * 4), 0)] * 30)
+    p, _ = m.lines("\n".join([good] * 4 + [bad] * 4))
+    assert p[:3].min() > 0.5 > p[5:].max()
+    # A line beyond a piece is still one line, and all of it counts.
+    assert len(quality.lines_of(bad * 5000)) == 1 and quality.kinds_of(b"a" * 70000 + b"!" * 70000)[[1, 7]].tolist() == [70000, 70000]
+    assert sum(len(b[1]) for b in quality.batched([np.zeros((450, 3 * quality.OWN))], [np.ones(450)], [1.0])) == 3
+
+
+def test_windows_against_explicit_mean_embeddings():
+    trainer = toxicity.Trainer(5)
+    rng = np.random.default_rng(6)
+    trainer.e = rng.normal(size=trainer.e.shape).astype("f4")
+    trainer.w, trainer.b = rng.normal(size=trainer.w.shape).astype("f4"), rng.normal(size=2).astype("f4")
+    m = trainer.model()
+    for text in ("You stupid, stupid fool!", "one", "a b c d e f g", "x" * 150 + " y,z", "Ünsinn über alles ...", "", "!!!"):
+        words = [w for w in (x.strip(toxicity.MARKS) for x in toxicity.split(text)) if w]
+        k = min(toxicity.WINDOW, len(words))
+        want = []
+        for i in range(len(words) - k + 1) if words else []:
+            bag = [g for w in words[i : i + k] for g in toxicity.subwords(w)]
+            z = trainer.e[bag].astype("f8").mean(0) @ trainer.w.astype("f8") + trainer.b
+            p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+            want.append(np.log(p[1] / p[0]))
+        want = want or [float(trainer.b[1] - trainer.b[0])]
+        assert np.allclose(m.windows(text), want, atol=1e-4)
+        top = max(range(len(want)), key=want.__getitem__)
+        rest = [v for i, v in enumerate(want) if abs(i - top) >= toxicity.WINDOW] or [want[top]]
+        raw = (want[top] + max(rest)) / 2
+        assert abs(m.raw(text) - raw) < 1e-4
+        assert abs(m.score(text) - 1 / (1 + np.exp(-(m.slope * raw + m.shift)))) < 1e-4
