@@ -4,18 +4,20 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scalars import ascii_fold, ascii_lower
+
 #: Texts that count as null, and the characters that end a token.
 NULL_TEXTS = ("", "NULL", "null")
-TOKEN_BREAKS = "[ \\t\\n\\r@.,;:_-]+"
+TOKEN_BREAKS = " \t\n\r@.,;:_-"
 
 
 def like(c: Column, pattern: str, fold: bool = False) -> Column:
-    """LIKE in which % and _ are the only special characters: a backslash matches itself."""
-    free = next(x for x in "!~^|#$&" if x not in pattern)
-    return (F.ilike if fold else F.like)(c, F.lit(pattern), F.lit(free))
+    """LIKE in which % and _ are the only special characters: a backslash matches itself. `fold` ignores the case of A-Z."""
+    free = next(x for x in map(chr, range(0xE000, 0xF900)) if x not in pattern)  # an escape that the pattern lacks
+    return F.like(ascii_lower(c), F.lit(ascii_fold(pattern)), F.lit(free)) if fold else F.like(c, F.lit(pattern), F.lit(free))
 
 
 def is_null_text(c: Column) -> Column:
@@ -23,8 +25,19 @@ def is_null_text(c: Column) -> Column:
 
 
 def matches_token(c: Column, word: str) -> Column:
-    """Some token of the text contains `word`, ignoring case."""
-    return F.exists(F.split(F.lower(c), TOKEN_BREAKS), lambda t: t.contains(word.lower()))
+    """Some token of the text contains `word`, ignoring the case of A-Z.
+
+    Tokens are what stands between breaks, so a word without breaks is in a token where it is in the text at all.
+    """
+    if any(x in TOKEN_BREAKS for x in word):
+        return F.when(c.isNotNull(), False)
+    return F.contains(ascii_lower(c), F.lit(ascii_fold(word)))
+
+
+def any_column_matches(df: DataFrame, word: str) -> Column:
+    """Token search over all text columns."""
+    texts = [f.name for f in df.schema if f.dataType.simpleString() == "string"]
+    return any_of(*[F.coalesce(matches_token(F.col(f"`{c}`"), word), F.lit(False)) for c in texts]) if texts else F.lit(False)
 
 
 def all_of(*terms: Column) -> Column:

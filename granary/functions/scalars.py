@@ -21,16 +21,21 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, string.ascii_uppercase, string.ascii_lowercase)
 
 
+def ascii_fold(text: str) -> str:
+    """`ascii_lower` of a Python value."""
+    return text.translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase))
+
+
 def concat2(a: Column, b: Column) -> Column:
     return F.concat(a, b)
 
 
-def mod_or_zero(c: Column, k: int) -> Column:
+def mod_or_zero(c: Column, k: Column | int) -> Column:
     """c mod k, and 0 where k is 0."""
-    return F.lit(0).cast("long") if k == 0 else c % F.lit(k)
+    k = F.lit(k) if isinstance(k, int) else k
+    return F.when(k == 0, 0).otherwise(c % F.nullif(k, F.lit(0))).cast("long")
 
 
 def int_avg(c: Column) -> Column:
-    """Average in whole numbers, rounded down for non-negative values; null over no rows."""
-    total, n = F.sum(c), F.count(c)
-    return F.when(n > 0, F.floor((total - total % n) / n)).cast("long")
+    """Average in whole numbers, rounded towards zero; null over no rows."""
+    return F.call_function("div", F.sum(c), F.nullif(F.count(c), F.lit(0)))

@@ -1,15 +1,16 @@
-"""Column statistics: most common values, equi-depth samples, pair counts, row estimates and access costs."""
+"""Column profiles: most common values, equi-depth samples, pair counts, and the rows these let one expect."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .relational import running_total
 
-#: Cost of a scanned row, an index entry and a fetched row, and the sizes of the statistics.
-SCAN_ROW, INDEX_ENTRY, ROW_FETCH = 3, 1, 4
-COMMON_VALUES, SAMPLES, COMMON_PAIRS, SCAN_FROM_ROWS = 16, 33, 32, 32
+#: The sizes of the profiles.
+COMMON_VALUES, SAMPLES, COMMON_PAIRS = 16, 33, 32
+#: Fixed values of the report on an index lookup against a scan: costs of a scanned and a looked-up row, and the least rows.
+SCAN_ROW, LOOKUP_ROW, SCAN_FROM_ROWS = 3, 5, 32
 
 
 def value_counts(df: DataFrame, c: str) -> DataFrame:
@@ -25,7 +26,7 @@ def common_values(df: DataFrame, c: str, n: int = COMMON_VALUES) -> DataFrame:
     return less.join(F.broadcast(top), F.col("_v") <= F.col("value")).groupBy("value", "freq").agg(F.sum(F.when(F.col("_v") < F.col("value"), F.col("_f")).otherwise(0)).alias("rows_before"))
 
 
-def depth_samples(df: DataFrame, c: str, n: int = SAMPLES, parts: int = 32) -> DataFrame:
+def depth_samples(df: DataFrame, c: str, n: int = SAMPLES, parts: int | None = None) -> DataFrame:
     """(i, rank, value): n values at equal distances in the sorted column, found from the running sum of value counts."""
     freq = running_total(value_counts(df, c), ["value"], F.col("freq"), "upto", parts)
     total = df.agg(F.count(F.lit(1)).alias("total"))
@@ -41,7 +42,7 @@ def common_pairs(df: DataFrame, a: str, b: str, n: int = COMMON_PAIRS) -> DataFr
 
 
 def equality_estimates(df: DataFrame, c: str, wanted: DataFrame) -> DataFrame:
-    """For each `value` of `wanted`: rows expected for c = value, and the cheaper of index and scan.
+    """For each `value` of `wanted`: rows expected for c = value, and what looking them up would cost beside a scan.
 
     Outside the column's range 0, a common value its count, else the mean count of the rest, rounded up.
     """
@@ -52,30 +53,9 @@ def equality_estimates(df: DataFrame, c: str, wanted: DataFrame) -> DataFrame:
     out = wanted.join(F.broadcast(whole), how="cross").join(F.broadcast(held), how="cross").join(F.broadcast(top), "value", "left")
     est = F.when((F.col("value") < F.col("lo")) | (F.col("value") > F.col("hi")), 0).otherwise(F.coalesce(F.col("freq"), rest)).cast("long")
     out = out.select("value", est.alias("est_rows"), (F.col("total") * SCAN_ROW).alias("scan_cost"), "total")
-    cost = F.col("est_rows") * (INDEX_ENTRY + ROW_FETCH)
-    return out.select("value", "est_rows", cost.alias("index_cost"), "scan_cost", access_choice(cost, F.col("scan_cost"), F.col("total")).alias("choice"))
-
-
-def access_choice(cost: Column, scan: Column, total: Column) -> Column:
-    """An index gives way to a scan once the table has some rows and the scan is cheaper."""
-    return F.when((total >= SCAN_FROM_ROWS) & (cost > scan), "scan").otherwise("index")
-
-
-def intersection_rows(n: int, counts: list[int]) -> int:
-    """Rows expected to pass all terms if these are independent, in whole numbers at each step."""
-    est = n
-    for c in counts:
-        est = est * c // n if n else 0
-    return est
-
-
-def intersection_cost(n: int, counts: list[int]) -> int:
-    return sum(counts) * INDEX_ENTRY + ROW_FETCH * intersection_rows(n, counts)
-
-
-def union_cost(n: int, counts: list[int], keys: int = 0) -> int:
-    """`keys`: branches on the primary key, which give one row each."""
-    return sum(counts) * INDEX_ENTRY + ROW_FETCH * min(sum(counts) + keys, n)
+    cost = F.col("est_rows") * LOOKUP_ROW
+    choice = F.when((F.col("total") >= SCAN_FROM_ROWS) & (cost > F.col("scan_cost")), "scan").otherwise("index")
+    return out.select("value", "est_rows", cost.alias("index_cost"), "scan_cost", choice.alias("choice"))
 
 
 def at_most_estimates(df: DataFrame, c: str, wanted: DataFrame) -> DataFrame:

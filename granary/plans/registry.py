@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from granary.functions import predicates as P
 from granary.functions import scalars as S
-from granary.operators import indexes, mutations, relational as R, statistics as X
-from granary.sources import catalog
+from granary.operators import mutations, relational as R, statistics as X
+from granary.sources import catalog, tables
 from granary.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,14 +40,14 @@ def flagship(spark, d):
 
 
 # Scans and filters.
-@query("SELECT * FROM region")
+@query("SELECT * FROM orders")
 def full_scan(spark, d):
-    return table(spark, d, "region")
+    return table(spark, d, "orders")
 
 
-@query("SELECT * FROM nation ORDER BY n_nationkey DESC")
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_orderkey DESC")
 def reverse_scan(spark, d):
-    return R.ordered(table(spark, d, "nation"), [("n_nationkey", True)], "n_nationkey")
+    return R.ordered(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), [("o_orderkey", True)], "o_orderkey")
 
 
 @query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey = 42")
@@ -65,19 +65,19 @@ def pk_between(spark, d):
     return table(spark, d, "orders").filter(F.col("o_orderkey").between(10, 90)).select("o_orderkey", "o_orderpriority")
 
 
-@query("SELECT n_name FROM nation WHERE n_regionkey = 2")
+@query("SELECT p_name FROM part WHERE p_size = 7")
 def project_one(spark, d):
-    return table(spark, d, "nation").filter("n_regionkey = 2").select("n_name")
+    return table(spark, d, "part").filter("p_size = 7").select("p_name")
 
 
-@query("SELECT * FROM nation WHERE n_nationkey IN (1, 3, 5, 77)")
+@query("SELECT p_partkey, p_size FROM part WHERE p_size IN (1, 3, 5, 77)")
 def in_list(spark, d):
-    return table(spark, d, "nation").filter(F.col("n_nationkey").isin(1, 3, 5, 77))
+    return table(spark, d, "part").filter(F.col("p_size").isin(1, 3, 5, 77)).select("p_partkey", "p_size")
 
 
-@query("SELECT * FROM nation WHERE n_nationkey NOT IN (1, 3, 5, 77)")
+@query("SELECT p_partkey, p_size FROM part WHERE p_size NOT IN (1, 3, 5, 77)")
 def not_in_list(spark, d):
-    return table(spark, d, "nation").filter(~F.col("n_nationkey").isin(1, 3, 5, 77))
+    return table(spark, d, "part").filter(~F.col("p_size").isin(1, 3, 5, 77)).select("p_partkey", "p_size")
 
 
 @query("SELECT p_partkey, p_brand FROM part WHERE p_brand = 'Brand#12'")
@@ -135,11 +135,17 @@ def null_sentinel(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.expr(NULLED).alias("v")).select("o_orderkey", P.is_null_text(F.col("v")).alias("is_null"))
 
 
-@query("SELECT doc_id FROM documents WHERE len(list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\r@.,;:_-]+'), lambda t: contains(t, 'tion'))) > 0")
+@query("SELECT doc_id FROM documents WHERE len(list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\r@.,;:_-]+'), lambda t: contains(t, 'tion'))) > 0")
 def fts_match(spark, d):
     return table(spark, d, "documents").filter(P.matches_token(F.col("text"), "Tion")).select("doc_id")
 
 
+@query("SELECT p_partkey FROM part WHERE contains(lower(p_name), 'ee') OR contains(lower(p_brand), 'ee') OR contains(lower(p_type), 'ee')")
+def fts_match_any_column(spark, d):
+    part = table(spark, d, "part")
+    return part.filter(P.any_column_matches(part, "EE")).select("p_partkey")
+
+
 # Distinct, aggregates, groups.
 @query("SELECT DISTINCT p_brand FROM part")
 def distinct_col(spark, d):
@@ -217,16 +223,16 @@ def offset_only(spark, d):
 
 
 # Set operations, joins, subqueries.
-@query("SELECT o_orderkey FROM orders WHERE o_orderkey < 300 UNION ALL SELECT o_orderkey FROM orders WHERE o_orderkey BETWEEN 200 AND 400")
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')")
 def union_all(spark, d):
-    o = table(spark, d, "orders").select("o_orderkey")
-    return o.filter("o_orderkey < 300").union(o.filter("o_orderkey BETWEEN 200 AND 400"))
+    o = table(spark, d, "orders")
+    return o.filter("o_orderstatus = 'F'").select("o_orderkey").union(o.filter("o_orderpriority IN ('1-URGENT', '2-HIGH')").select("o_orderkey"))
 
 
-@query("SELECT o_custkey FROM orders WHERE o_orderkey < 3000 UNION SELECT o_custkey FROM orders WHERE o_orderkey BETWEEN 2000 AND 4000")
+@query("SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' UNION SELECT o_custkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')")
 def union_distinct(spark, d):
     o = table(spark, d, "orders")
-    return R.union_distinct(o.filter("o_orderkey < 3000").select("o_custkey"), o.filter("o_orderkey BETWEEN 2000 AND 4000").select("o_custkey"))
+    return R.union_distinct(o.filter("o_orderstatus = 'F'").select("o_custkey"), o.filter("o_orderpriority IN ('1-URGENT', '2-HIGH')").select("o_custkey"))
 
 
 @query("SELECT d.doc_id AS doc_id, d.lang AS lang, l.quality AS quality FROM documents d JOIN labels l ON d.doc_id = l.doc_id")
@@ -235,10 +241,10 @@ def pk_join(spark, d):
     return R.key_join(docs, labels, "doc_id", "doc_id").select(docs["doc_id"], "lang", "quality")
 
 
-@query("SELECT a.n_nationkey AS id, a.n_name AS left_name, b.n_name AS right_name FROM nation a JOIN nation b ON a.n_nationkey = b.n_nationkey")
+@query("SELECT a.o_orderkey AS id, a.o_orderstatus AS left_status, b.o_orderpriority AS right_priority FROM orders a JOIN orders b ON a.o_orderkey = b.o_orderkey")
 def self_join(spark, d):
-    a = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("left_name"))
-    b = table(spark, d, "nation").select(F.col("n_nationkey").alias("other"), F.col("n_name").alias("right_name"))
+    a = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("left_status"))
+    b = table(spark, d, "orders").select(F.col("o_orderkey").alias("other"), F.col("o_orderpriority").alias("right_priority"))
     return R.key_join(a, b, "id", "other").drop("other")
 
 
@@ -248,19 +254,26 @@ def in_subquery(spark, d):
     return R.members(table(spark, d, "customer"), "c_custkey", sub, "o_custkey").select("c_custkey", "c_name")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def not_in_subquery(spark, d):
-    return R.members(table(spark, d, "customer"), "c_custkey", table(spark, d, "orders"), "o_custkey", keep=False).select("c_custkey")
+    sub = table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'")
+    return R.members(table(spark, d, "customer"), "c_custkey", sub, "o_custkey", keep=False).select("c_custkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT CASE WHEN o_orderpriority = '1-URGENT' THEN NULL ELSE o_custkey END FROM orders WHERE o_orderstatus = 'F')")
+def not_in_with_null(spark, d):
+    sub = table(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.when(F.col("o_orderpriority") != "1-URGENT", F.col("o_custkey")).alias("k"))
+    return R.members(table(spark, d, "customer"), "c_custkey", sub, "k", keep=False).select("c_custkey")
 
 
-@query("SELECT r_regionkey, r_name FROM region WHERE EXISTS (SELECT 1 FROM nation WHERE n_nationkey = 3)")
+@query("SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_orderstatus = 'P')")
 def exists_subquery(spark, d):
-    return R.if_exists(table(spark, d, "region"), table(spark, d, "nation").filter("n_nationkey = 3")).select("r_regionkey", "r_name")
+    return R.if_exists(table(spark, d, "customer"), table(spark, d, "orders").filter("o_orderstatus = 'P'")).select("c_custkey", "c_name")
 
 
-@query("SELECT r_regionkey, (SELECT count(*) FROM nation) AS n_nations FROM region")
+@query("SELECT c_custkey, (SELECT count(*) FROM orders) AS n_orders FROM customer")
 def scalar_subquery(spark, d):
-    return R.with_scalar(table(spark, d, "region").select("r_regionkey"), table(spark, d, "nation").agg(n()), "n_nations")
+    return R.with_scalar(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").agg(n()), "n_orders")
 
 
 @query("WITH big AS (SELECT o_custkey, o_orderkey FROM orders WHERE o_orderkey > 1000) SELECT o_custkey, count(*) AS n FROM big GROUP BY o_custkey")
@@ -306,9 +319,9 @@ def math_abs_mod(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.abs("o_orderkey").alias("a"), S.mod_or_zero(F.col("o_orderkey"), 7).alias("m"))
 
 
-@query("SELECT o_orderkey, CAST(0 AS BIGINT) AS m FROM orders")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_custkey % (o_orderkey % 3) END AS m FROM orders")
 def math_mod_zero(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", S.mod_or_zero(F.col("o_orderkey"), 0).alias("m"))
+    return table(spark, d, "orders").select("o_orderkey", S.mod_or_zero(F.col("o_custkey"), F.col("o_orderkey") % 3).alias("m"))
 
 
 @query("SELECT '1.0' AS version, 'granary' AS database")
@@ -316,18 +329,18 @@ def system_values(spark, d):
     return catalog.system_values(spark)
 
 
-# Index algebra.
+# Conjunctions, disjunctions and ordered ranges that another engine would serve from indexes: filters in one scan.
 TERMS = ("p_size > 20", "p_brand = 'Brand#12'")
 
 
 @query(f"SELECT p_partkey, p_size, p_brand FROM part WHERE {TERMS[0]} AND {TERMS[1]}")
 def index_intersection(spark, d):
-    return indexes.intersect_fetch(table(spark, d, "part"), "p_partkey", [F.expr(t) for t in TERMS]).select("p_partkey", "p_size", "p_brand")
+    return table(spark, d, "part").filter(P.all_of(*[F.expr(t) for t in TERMS])).select("p_partkey", "p_size", "p_brand")
 
 
 @query(f"SELECT p_partkey, p_size, p_brand FROM part WHERE {TERMS[0]} OR {TERMS[1]}")
 def index_union(spark, d):
-    return indexes.union_fetch(table(spark, d, "part"), "p_partkey", [F.expr(t) for t in TERMS]).select("p_partkey", "p_size", "p_brand")
+    return table(spark, d, "part").filter(P.any_of(*[F.expr(t) for t in TERMS])).select("p_partkey", "p_size", "p_brand")
 
 
 @query("SELECT p_size, p_partkey FROM part WHERE p_size BETWEEN 10 AND 20 ORDER BY p_size, p_partkey")
@@ -392,25 +405,49 @@ def stats_pair_estimate(spark, d):
 
 
 # Mutations: the table after the statement.
-@query("SELECT n_nationkey, CASE WHEN n_regionkey = 1 OR n_name LIKE 'C%' THEN 'moved' ELSE n_name END AS n_name, n_regionkey FROM nation")
+@query("SELECT * REPLACE (CASE WHEN o_orderpriority = '1-URGENT' AND (o_custkey < 50 OR o_orderstatus LIKE 'F%') THEN 'moved' ELSE o_orderstatus END AS o_orderstatus) FROM orders")
 def dml_update(spark, d):
-    hit = (F.col("n_regionkey") == 1) | P.like(F.col("n_name"), "C%")
-    return mutations.update_where(table(spark, d, "nation"), hit, {"n_name": F.lit("moved")}, "n_nationkey")
+    hit = (F.col("o_orderpriority") == "1-URGENT") & ((F.col("o_custkey") < 50) | P.like(F.col("o_orderstatus"), "F%"))
+    return mutations.update_where(table(spark, d, "orders"), hit, {"o_orderstatus": F.lit("moved")}, "o_orderkey")
 
 
-@query("SELECT * FROM nation WHERE NOT (n_regionkey = 1 AND n_nationkey > 3)")
+@query("SELECT * REPLACE (CASE WHEN o_orderkey = (SELECT max(o_orderkey) FROM orders) THEN 'X' ELSE o_orderstatus END AS o_orderstatus) FROM orders")
+def dml_update_key(spark, d):
+    o = table(spark, d, "orders")
+    return mutations.update_by_key(o, "o_orderkey", o.agg(F.max("o_orderkey")).first()[0], {"o_orderstatus": F.lit("X")})
+
+
+@query("SELECT * FROM lineitem WHERE NOT (l_returnflag = 'R' AND l_quantity > 25)")
 def dml_delete(spark, d):
-    return mutations.delete_where(table(spark, d, "nation"), (F.col("n_regionkey") == 1) & (F.col("n_nationkey") > 3))
+    return mutations.delete_where(table(spark, d, "lineitem"), (F.col("l_returnflag") == "R") & (F.col("l_quantity") > 25))
+
+
+@query("SELECT * FROM orders WHERE o_orderkey <> (SELECT min(o_orderkey) FROM orders)")
+def dml_delete_key(spark, d):
+    o = table(spark, d, "orders")
+    return mutations.delete_by_key(o, "o_orderkey", o.agg(F.min("o_orderkey")).first()[0])
 
 
-@query("SELECT * FROM nation WHERE false")
+@query("SELECT * FROM orders WHERE false")
 def dml_delete_all(spark, d):
-    return mutations.delete_where(table(spark, d, "nation"), F.lit(True))
+    return mutations.delete_where(table(spark, d, "orders"), F.lit(True))
 
 
-@query("SELECT * FROM nation UNION ALL SELECT CAST(max(n_nationkey) + 1 AS INT), 'NEWLAND', CAST(2 AS INT) FROM nation")
+@query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders UNION ALL SELECT max(o_orderkey) + 1, 17, 'N' FROM orders")
 def dml_insert_autoid(spark, d):
-    return mutations.insert_row(table(spark, d, "nation"), "n_nationkey", {"n_nationkey": None, "n_name": "NEWLAND", "n_regionkey": 2})
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    return mutations.insert_row(o, "o_orderkey", {"o_orderkey": None, "o_custkey": 17, "o_orderstatus": "N"})
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders UNION ALL SELECT 4000000000, 17, 'N'")
+def dml_insert_typed(spark, d):
+    o = tables.loaded(table(spark, d, "orders"), tables.declared(o_orderkey="INT", o_custkey="INT", o_orderstatus="VARCHAR(1)"))
+    return mutations.insert_row(o, "o_orderkey", {"o_orderkey": 4000000000, "o_custkey": 17, "o_orderstatus": "N"})
+
+
+@query("SELECT c_custkey, c_name, c_mktsegment FROM customer")
+def create_table(spark, d):
+    return tables.loaded(table(spark, d, "customer"), tables.declared(c_custkey="INT", c_name="VARCHAR(32)", c_mktsegment="VARCHAR"))
 
 
 @query("SELECT l.* FROM labels l WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id AND d.lang = 'fr')")
@@ -418,9 +455,18 @@ def fk_cascade(spark, d):
     return mutations.cascade_delete(table(spark, d, "labels"), "doc_id", table(spark, d, "documents").filter("lang = 'fr'"), "doc_id")
 
 
-@query("SELECT *, '' AS note, CAST(0 AS BIGINT) AS hits FROM nation")
+@query("SELECT *, '' AS note, CAST(0 AS BIGINT) AS hits FROM customer")
 def alter_add_column(spark, d):
-    return mutations.add_column(mutations.add_column(table(spark, d, "nation"), "note", "string"), "hits", "bigint")
+    return mutations.add_column(mutations.add_column(table(spark, d, "customer"), "note", "string"), "hits", "bigint")
+
+
+@query("SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus")
+def rename_table(spark, d):
+    for name in ("_orders_before", "_orders_after"):
+        spark.catalog.dropTempView(name)
+    table(spark, d, "orders").createOrReplaceTempView("_orders_before")
+    catalog.rename_view(spark, "_orders_before", "_orders_after")
+    return spark.table("_orders_after").groupBy("o_orderstatus").agg(n())
 
 
 @query("SELECT 'null o_orderkey' AS check_name, count(*) FILTER (o_orderkey IS NULL) AS n_bad FROM orders UNION ALL SELECT 'capacity o_orderstatus', count(*) FILTER (strlen(o_orderstatus) > 1) FROM orders UNION ALL SELECT 'range o_custkey', count(*) FILTER (o_custkey < 0 OR o_custkey > 4294967295) FROM orders UNION ALL SELECT 'duplicate o_orderkey', count(*) FROM (SELECT o_orderkey FROM orders GROUP BY 1 HAVING count(*) > 1)")
@@ -428,6 +474,20 @@ def integrity_check(spark, d):
     return mutations.integrity_report(table(spark, d, "orders"), "o_orderkey", {"o_orderstatus": 1}, ("o_custkey",))
 
 
-@query("SELECT * FROM (VALUES ('region', 0, 'r_regionkey', 'int', true), ('region', 1, 'r_name', 'string', false)) t(tbl_name, cid, name, type, pk)")
+@query(
+    "SELECT table_name AS tbl_name, CAST(ordinal_position - 1 AS INT) AS cid, column_name AS name, CASE data_type WHEN 'INTEGER' THEN 'int' WHEN 'BIGINT' THEN 'bigint' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' END AS type, "
+    "column_name = 'c_custkey' AS pk FROM information_schema.columns WHERE table_name = 'customer'"
+)
 def table_info(spark, d):
-    return catalog.table_info(table(spark, d, "region"), "region", "r_regionkey")
+    return catalog.table_info(table(spark, d, "customer"), "customer", "c_custkey")
+
+
+@query("SELECT DISTINCT 'table' AS type, table_name AS name, table_name AS tbl_name FROM information_schema.tables WHERE table_schema = 'main'")
+def catalog_tables(spark, d):
+    return catalog.folder_tables(spark, d)
+
+
+@query("SELECT count(*) AS n_rows, true AS pushed FROM orders WHERE o_orderstatus = 'F'")
+def explain_analyze(spark, d):
+    ran = catalog.explain_analyze(table(spark, d, "orders").filter("o_orderstatus = 'F'").select("o_orderkey"))
+    return spark.range(1).select(F.lit(ran["rows"]).cast("long").alias("n_rows"), F.lit("EqualTo(o_orderstatus,F)" in ran["plan"]).alias("pushed"))

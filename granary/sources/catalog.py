@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,6 +25,14 @@ def master(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "type string, name string, tbl_name string")
 
 
+def folder_tables(spark: SparkSession, root: str) -> DataFrame:
+    """(type, name, tbl_name) of the tables below a folder, by names alone."""
+    glob = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/*.parquet")
+    found = glob.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(glob)
+    names = sorted(f.getPath().getName().removesuffix(".parquet") for f in found or [])
+    return spark.createDataFrame([("table", n, n) for n in names], "type string, name string, tbl_name string")
+
+
 def system_values(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(F.lit(VERSION).alias("version"), F.lit(ENGINE).alias("database"))
 
@@ -33,6 +41,11 @@ def create_view(spark: SparkSession, name: str, sql: str) -> None:
     spark.sql(sql).createOrReplaceTempView(name)
 
 
+def rename_view(spark: SparkSession, old: str, new: str) -> None:
+    """RENAME TO for a name of the session; Spark refuses a missing old and a taken new one."""
+    spark.sql(f"ALTER VIEW `{old}` RENAME TO `{new}`")
+
+
 class Prepared:
     """A statement with ? markers, bound by Spark itself, so values never become SQL text."""
 
@@ -48,10 +61,10 @@ def explain(df: DataFrame, mode: str = "formatted") -> str:
 
 
 def explain_analyze(df: DataFrame) -> dict[str, object]:
-    """Run the query and report its plan, rows and seconds."""
-    began = time.time()
-    rows = df.count()
-    return {"plan": explain(df), "rows": rows, "seconds": time.time() - began}
+    """Run the whole query, its rows going nowhere, and report its plan, rows and seconds."""
+    seen, began = Observation(), time.time()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.format("noop").mode("overwrite").save()
+    return {"plan": explain(df), "rows": seen.get["rows"], "seconds": time.time() - began}
 
 
 def check(df: DataFrame, key: str) -> DataFrame:
