@@ -21,10 +21,15 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors have to see; without that setting there is none."""
+    """A new folder below spark.checkpoint.dir, which all executors have to see.
+
+    Where that is unset, a session on one machine uses its warehouse folder, and one on a cluster is refused.
+    """
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
     return f"{at.rstrip('/')}/{uuid.uuid4().hex}"
 
 

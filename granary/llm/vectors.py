@@ -35,6 +35,17 @@ def chunked(df: DataFrame, keys: list[str], most: int, salt: str) -> DataFrame:
     return out.withColumn("chunk", F.pmod(F.xxhash64(salt), F.col("n_chunks")).cast("int"))
 
 
+def in_blocks(df: DataFrame) -> DataFrame:
+    """Rows with `chunk` of `n_chunks` dealt to blocks (x, y) of two chunks of their group, each two of which meet once.
+
+    In a block of one chunk (x = y) all rows have `side` 2; else those of x have 0 and those of y 1.
+    """
+    other = F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1))
+    side = F.when(F.col("chunk") == F.col("_other"), 2).when(F.col("chunk") < F.col("_other"), 0).otherwise(1)
+    met = df.withColumn("_other", other).withColumns({"x": F.least("chunk", "_other"), "y": F.greatest("chunk", "_other"), "side": side})
+    return met.drop("_other", "chunk", "n_chunks")
+
+
 def by_rows(df: DataFrame, schema: str, make: object, rows: int = 512) -> DataFrame:
     """mapInArrow over slices of at most `rows` rows; `make` gets a RecordBatch and gives a list of Arrow columns."""
     names = [p.strip().split(" ")[0].strip("`") for p in schema.split(",")] if "<" not in schema else None
