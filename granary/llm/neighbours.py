@@ -1,23 +1,27 @@
 """Approximate nearest neighbours by largest inner product: an NN-descent graph, and greedy search on it.
 
-Index: vectors get one more component, which makes their lengths equal, so that near means a large inner product. Random
-hyperplane trees deal them to leaves, where each starts with its best leaf mates. Then NN-descent rounds, each a few
-Spark joins: every node gathers its neighbours and those that name it, scores them against one another and offers each
-the ones that beat its worst neighbour; the best of old and new offers stay. Rounds end when few neighbours change.
+Index: equal vectors are one node. Vectors get one more component, which makes their lengths equal, so that near means a
+large inner product. Signs of random projections around the mean deal them to leaves, several times over, where each
+starts with its best leaf mates; the number of signs grows with the rows, so leaves keep their size. Then NN-descent
+rounds, each a few Spark joins: every node gathers its neighbours and those that name it, scores them against one another
+and offers each the ones that beat its worst neighbour; the best of old and new offers stay. Rounds end when few
+neighbours change. Vectors of different lengths have graphs of their own.
 
 Search: a query starts at its own node. Each hop joins the queries' best unexpanded nodes with the graph and scores the
-neighbours found; it ends when no query has a better node to expand. The best candidates are then scored in double
+neighbours found; it ends when no query has an unexpanded node in its beam. The whole beam is then scored in double
 precision on the original vectors.
 
-Every usable vector is indexed. Approximate are the trees' cuts (from a bounded sample), the share of a node's reverse
-neighbours that takes part in a round, and the search; recall is measured against brute force in the tests and README.
-Unusable vectors (null, empty, zero, null or non-finite components) take no part; of several lengths only the most
-common takes part. Ids are unique. Ties go to the smaller id among those found. Fewer rows than asked for give all.
+Every usable vector is indexed, and every size goes the same way. Approximate are the share of a node's reverse neighbours
+that takes part in a round, the search, and its vectors of two bytes a component; recall is measured against brute force in
+the tests and README. Unusable vectors (null, empty, zero, null or non-finite components) and rows with a null id take no
+part. Rows are rows even where ids or vectors repeat: each query row has a list of its own, which leaves out that row
+alone. Ties go to the smaller id among those found. Fewer rows than asked for give all that the search meets.
 """
 
 from __future__ import annotations
 
 import math
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,33 +31,40 @@ from pyspark.sql import functions as F
 from .common import drop_saved, saved
 from .vectors import by_rows, chunked, matrix, usable
 
-DEGREE, REVERSE, TREES, LEAF, SAMPLE = 32, 24, 16, 1000, 20_000
-ROUNDS, SETTLED, OFFERS = 5, 0.02, 8
-BEAM, EXPAND, HOPS, SEED = 224, 20, 9, 5
+#: Neighbours of a node, reverse ones in a round and in the search, times dealt to leaves, and the size of these.
+DEGREE, REVERSE, DEALS, LEAF = 32, 24, 6, 400
+ROUNDS, SETTLED, OFFERS = 6, 0.02, 8
+BEAM, EXPAND, MOST_BITS, SEED = 192, 24, 48, 5
 
 
-class Tree:
-    """Hyperplanes by level: each node splits its sample at the median of the difference of two of its members."""
+@cache
+def directions(dim: int, deal: int) -> np.ndarray:
+    return np.random.default_rng((SEED, deal)).normal(size=(dim, MOST_BITS)).astype("f4")
 
-    def __init__(self, x: np.ndarray, depth: int, rng: np.random.Generator):
-        self.levels = []
-        at = np.zeros(len(x), np.int64)
-        for level in range(depth):
-            plane, cut = np.zeros((1 << level, x.shape[1])), np.zeros(1 << level)
-            for node in range(1 << level):
-                own = np.flatnonzero(at == node)
-                plane[node] = x[rng.choice(own)] - x[rng.choice(own)] if len(own) > 1 else 0
-                if not plane[node].any():
-                    plane[node] = rng.normal(size=x.shape[1])
-                cut[node] = np.median(x[own] @ plane[node]) if len(own) else 0.0
-            self.levels.append((plane, cut))
-            at = at * 2 + (np.einsum("ij,ij->i", x, plane[at]) > cut[at])
 
-    def leaves(self, x: np.ndarray) -> np.ndarray:
-        at = np.zeros(len(x), np.int64)
-        for plane, cut in self.levels:
-            at = at * 2 + (np.einsum("ij,ij->i", x, plane[at]) > cut[at])
-        return at
+def packed(x: np.ndarray) -> pa.Array:
+    """Rows in two bytes a component, behind the scale in four."""
+    scale = np.maximum(np.abs(x).max(1, keepdims=True), 1e-30).astype("<f4") / np.float32(32767)
+    data = np.hstack([scale.view("<i2").reshape(len(x), 2), np.rint(x / scale).astype("<i2")])
+    return pa.array([r.tobytes() for r in data], pa.binary())
+
+
+def unpacked(column: pa.Array, lo: int, hi: int) -> np.ndarray:
+    """Rows lo to hi of a column of `packed` rows of one length."""
+    ends = np.frombuffer(column.buffers()[1], "<i4")[column.offset + lo : column.offset + hi + 1]
+    raw = np.frombuffer(column.buffers()[2], "<i2", (ends[-1] - ends[0]) // 2, ends[0]).reshape(hi - lo, -1)
+    return raw[:, 2:].astype("f8") * raw[:, :2].copy().view("<f4")
+
+
+def nearness(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances, negative. Index forms are equally long, so this orders as inner products do, but tells near ones apart."""
+    return 2 * (x @ y.T) - (x * x).sum(1)[:, None] - (y * y).sum(1)
+
+
+def spans(column: pa.Array) -> list[tuple[int, int]]:
+    """Where each list of a list column begins and ends in its `values`."""
+    at = column.offsets.to_numpy()
+    return list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
 
 
 def best(scores: np.ndarray, k: int) -> np.ndarray:
@@ -61,24 +72,46 @@ def best(scores: np.ndarray, k: int) -> np.ndarray:
     return np.argpartition(-scores, k - 1, axis=1)[:, :k] if k < scores.shape[1] else np.broadcast_to(np.arange(scores.shape[1]), scores.shape)
 
 
-def leaf_pairs(degree: int):  # noqa: ANN201
+def lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    at = np.append(0, np.cumsum([len(r) for r in rows])).astype("i4")
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(rows) if rows else [], kind))
+
+
+def leaf_mates(degree: int):  # noqa: ANN201
+    """A leaf's members, each with its best mates."""
+
     def run(b: pa.RecordBatch) -> dict[str, pa.Array]:
-        a, o, s = [], [], []
-        for ids, vecs in zip(b.column(0), b.column(1), strict=True):
-            n = np.array(ids.as_py())
-            x = np.stack([np.frombuffer(v, "f4") for v in vecs.as_py()])
+        node, others, scores = [], [], []
+        ids, vecs = b.column(0).values.to_numpy(), b.column(1).values
+        for lo, hi in spans(b.column(0)):
+            n, x = ids[lo:hi], unpacked(vecs, lo, hi)
             k = min(degree, len(n) - 1)
-            if k < 1:
-                continue
-            for at in range(0, len(n), 512):
-                z = x[at : at + 512] @ x.T
+            for at in range(0, len(n) if k else 0, 512):
+                z = nearness(x[at : at + 512], x)
                 z[np.arange(len(z)), at + np.arange(len(z))] = -np.inf
                 top = best(z, k)
-                a.append(np.repeat(n[at : at + 512], k))
-                o.append(n[top].ravel())
-                s.append(np.take_along_axis(z, top, 1).ravel())
+                node.append(n[at : at + 512])
+                others += list(n[top])
+                scores += list(np.take_along_axis(z, top, 1))
+        return {"node": pa.array(np.concatenate(node) if node else [], pa.int64()), "others": lists(others, pa.int64()), "scores": lists(scores, pa.float32())}
+
+    return run
+
+
+def leaf_best(degree: int):  # noqa: ANN201
+    """The best of a node's mates from all its leaves."""
+
+    def run(b: pa.RecordBatch) -> dict[str, pa.Array]:
+        node, other, score = [], [], []
+        for n, o, s in zip(b.column(0), b.column(1), b.column(2), strict=True):
+            o, s = np.concatenate([np.array(x) for x in o.as_py()]), np.concatenate([np.array(x, "f4") for x in s.as_py()])
+            o, first = np.unique(o, return_index=True)
+            top = np.argsort(-s[first], kind="stable")[:degree]
+            node += [n.as_py()] * len(top)
+            other.append(o[top])
+            score.append(s[first][top])
         cat = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-        return {"node": pa.array(cat(a, "i8")), "other": pa.array(cat(o, "i8")), "score": pa.array(cat(s, "f4"))}
+        return {"node": pa.array(node, pa.int64()), "other": pa.array(cat(other, "i8")), "score": pa.array(cat(score, "f4"))}
 
     return run
 
@@ -88,17 +121,19 @@ def local_join(offers: int):  # noqa: ANN201
 
     def run(b: pa.RecordBatch) -> dict[str, pa.Array]:
         a, o, s = [], [], []
-        for members in b.column(0):
-            m = members.as_py()
-            if len(m) < 2:
-                continue
-            n = np.array([r["id"] for r in m])
-            x = np.stack([np.frombuffer(r["vec"], "f2") for r in m]).astype("f4")
-            worst = np.array([r["worst"] for r in m], "f4")
-            fresh = np.array([r["fresh"] for r in m])
-            z = x @ x.T
-            # Pairs of two old members have met before.
-            z[(n[:, None] == n) | ~(fresh[:, None] | fresh) | (z <= worst[:, None])] = -np.inf
+        col = b.column(0)
+        ids, vecs, worst, fresh = (col.values.field(k) for k in range(4))
+        ids, worst, fresh = ids.to_numpy(), worst.to_numpy(), fresh.to_numpy(zero_copy_only=False)
+        for lo, hi in spans(col):
+            new = fresh[lo:hi]
+            if not new.any():
+                continue  # pairs of two old members have met before
+            # A node may stand here both ways; it is new if either is.
+            n, first, of = np.unique(ids[lo:hi], return_index=True, return_inverse=True)
+            x, low, new = unpacked(vecs, lo, hi)[first], worst[lo:hi][first], np.bincount(of, new) > 0
+            z = nearness(x, x).astype("f4")
+            z[~(new[:, None] | new) | (z <= low[:, None])] = -np.inf
+            np.fill_diagonal(z, -np.inf)
             top = best(z, min(offers, len(n)))
             v = np.take_along_axis(z, top, 1)
             i, j = np.nonzero(v > -np.inf)
@@ -114,73 +149,88 @@ def local_join(offers: int):  # noqa: ANN201
 PAIR = "node bigint, other bigint, score float"
 
 
-def top_of(pairs: DataFrame, degree: int, keys: tuple[str, ...] = ("node",), score: str = "score", other: str = "other") -> DataFrame:
-    """The best `degree` rows of each key; pairs given twice count once."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(score), other)
-    return pairs.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= degree).drop("_rank")
+def top_of(rows: DataFrame, n: int, keys: list[str], *order: Column | str) -> DataFrame:
+    """The first `n` rows of each key; Spark cuts each task's rows to as many before the exchange."""
+    return rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_rank") <= n).drop("_rank")
 
 
-def prepared(df: DataFrame, key: str, vec: str) -> tuple[DataFrame, int]:
-    """(id, v, vec): usable vectors of the most common length; `vec` is the index form, float32 with the extra component."""
-    ok = df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{vec}`").cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & usable("v"))
-    dims = ok.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").first()
-    dim, n = (dims.dim, dims.n) if dims else (1, 0)
-    ok = ok.filter(F.size("v") == dim)
-    longest = ok.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()[0] or 0.0
+def usable_rows(df: DataFrame, key: str, vec: str) -> DataFrame:
+    v = F.col(f"`{vec}`")
+    v = v if df.schema[vec].dataType.simpleString() == "array<float>" else v.cast("array<double>")
+    return df.select(F.col(f"`{key}`").alias("id"), v.alias("v")).filter(F.col("id").isNotNull() & usable("v"))
 
-    def run(b: pa.RecordBatch) -> dict[str, pa.Array]:
-        x = matrix(b.column(1))
-        more = np.sqrt(np.maximum(0, longest - (x * x).sum(1, keepdims=True))) if len(x) else x
-        y = (np.hstack([x, more]) / math.sqrt(longest)).astype("f4")
-        return {"id": b.column(0), "v": b.column(1), "vec": pa.array([r.tobytes() for r in y], pa.binary())}
 
-    return saved(by_rows(ok, "id bigint, v array<double>, vec binary", run)), n
+def classes_of(rows: DataFrame, most: int) -> DataFrame:
+    """(node, v, ids): equal vectors as one, with their `most` smallest ids."""
+    few = top_of(rows, most, ["v"], "id")
+    # Written, so a number once given stays.
+    return saved(few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("node", F.monotonically_increasing_id()))
 
 
-def halved(points: DataFrame) -> DataFrame:
-    """(id, vec) in half precision, for ranking; final scores are taken from the original vectors."""
+def measured(classes: DataFrame) -> DataFrame:
+    """(dim, n, mean, longest): one row for each vector length."""
 
-    def make(b: pa.RecordBatch) -> dict[str, pa.Array]:
-        return {"id": b.column(0), "vec": pa.array([np.frombuffer(v.as_buffer(), "f4").astype("f2").tobytes() for v in b.column(1)], pa.binary())}
+    def sums(b: pa.RecordBatch) -> dict[str, pa.Array]:
+        x = [np.array(v.as_py(), "f8") for v in b.column(0)]
+        dims = sorted({len(v) for v in x})
+        parts = [np.stack([v for v in x if len(v) == d]) for d in dims]
+        return {"dim": pa.array(dims, pa.int32()), "n": pa.array([len(p) for p in parts], pa.int64()), "total": pa.array([p.sum(0) for p in parts], pa.list_(pa.float64())), "longest": pa.array([(p * p).sum(1).max() for p in parts], pa.float64())}
 
-    return by_rows(points.select("id", "vec"), "id bigint, vec binary", make)
+    rows = by_rows(classes.select("v"), "dim int, n bigint, total array<double>, longest double", sums, 1 << 16)
+    whole = rows.groupBy("dim").agg(F.sum("n").alias("n"), F.max("longest").alias("longest"))
+    mean = rows.select("dim", F.posexplode("total").alias("i", "x")).groupBy("dim", "i").agg(F.sum("x").alias("x"))
+    mean = mean.groupBy("dim").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("m"))
+    return saved(whole.join(mean, "dim").select("dim", "n", "longest", F.transform("m", lambda s: s["x"] / F.col("n")).alias("mean")))
 
 
-def build(points: DataFrame, n: int, degree: int = DEGREE, trees: int = TREES, leaf: int = LEAF, rounds: int = ROUNDS) -> DataFrame:
+def points_of(classes: DataFrame, leaf: int = LEAF, deals: int = DEALS) -> DataFrame:
+    """(node, dim, vec, leaves): index forms, and the leaf that each deal puts a node into."""
+    rows = classes.select("node", "v", F.size("v").alias("dim")).join(measured(classes), "dim").select("node", "v", "dim", "n", "longest", "mean")
+
+    def make(b: pa.RecordBatch) -> dict[str, pa.Array]:
+        dims = b.column(2).to_numpy()
+        node, dim, vec, leaves = [], [], [], []
+        for d in np.unique(dims):
+            own = pa.array(np.flatnonzero(dims == d))
+            x, one = matrix(b.column(1).take(own)), b.column(5).take(own)[0].as_py()
+            n, longest = (b.column(k).take(own)[0].as_py() for k in (3, 4))
+            y = (np.hstack([x, np.sqrt(np.maximum(0, longest - (x * x).sum(1, keepdims=True)))]) / math.sqrt(longest)).astype("f4")
+            bits = min(MOST_BITS, max(0, math.ceil(math.log2(n / leaf))))
+            two = 1 << np.arange(bits)
+            at = np.stack([(((x - one).astype("f4") @ directions(int(d), t)[:, :bits]) > 0) @ two for t in range(deals)], 1) if bits else np.zeros((len(x), 1), "i8")
+            node.append(b.column(0).take(own))
+            dim.append(b.column(2).take(own))
+            vec.append(packed(y))
+            leaves.append(pa.array(at.astype("i8").tolist(), pa.list_(pa.int64())))
+        cat = lambda parts, kind: pa.concat_arrays(parts) if parts else pa.array([], kind)
+        return {"node": cat(node, pa.int64()), "dim": cat(dim, pa.int32()), "vec": cat(vec, pa.binary()), "leaves": cat(leaves, pa.list_(pa.int64()))}
+
+    return saved(by_rows(rows, "node bigint, dim int, vec binary, leaves array<bigint>", make, 2048))
+
+
+def build(points: DataFrame, degree: int = DEGREE, leaf: int = LEAF, rounds: int = ROUNDS) -> DataFrame:
     """The neighbour graph (node, other, score)."""
-    spark = points.sparkSession
-    depth = max(0, math.ceil(math.log2(max(1, n) / leaf)))
-    sample = [np.frombuffer(r.vec, "f4") for r in points.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vec").collect()] if depth else []
-    rng = np.random.default_rng(SEED)
-    # As many planes as leaves: they grow with the rows, one for each `leaf` of them, but never beyond half the sample.
-    depth = min(depth, int(math.log2(max(2, len(sample)))) - 1) if depth else 0
-    grown = [Tree(np.stack(sample).astype("f8"), depth, rng) for _ in range(trees)] if depth else [Tree(np.zeros((0, 1)), 0, rng)]
-    held = spark.sparkContext.broadcast(grown)
-
-    def leaves(b: pa.RecordBatch) -> dict[str, pa.Array]:
-        x = np.stack([np.frombuffer(v.as_buffer(), "f4") for v in b.column(1)]).astype("f8") if b.num_rows else np.zeros((0, 1))
-        at = [t.leaves(x) for t in held.value]
-        return {"id": b.column(0), "vec": b.column(1), "leaves": pa.array(np.stack(at, 1).tolist() if b.num_rows else [], pa.list_(pa.int64()))}
-
-    dealt = by_rows(points.select("id", "vec"), "id bigint, vec binary, leaves array<bigint>", leaves).select("id", "vec", F.posexplode("leaves").alias("tree", "leaf"))
-    # A leaf with many rows (copies fall together) is cut at random; its members have near ones in every part.
-    groups = chunked(saved(dealt), ["tree", "leaf"], 2 * leaf, "id").groupBy("tree", "leaf", "chunk").agg(F.collect_list("id").alias("ids"), F.collect_list("vec").alias("vecs"))
-    graph = saved(top_of(by_rows(groups.select("ids", "vecs"), PAIR, leaf_pairs(degree), 1).distinct(), degree).withColumn("fresh", F.lit(True)))
-    keep_vec = saved(halved(points))
-
-    for turn in range(rounds if depth else 0):
-        info = keep_vec.join(graph.groupBy("node").agg(F.min("score").alias("worst"), F.count(F.lit(1)).alias("held")), F.col("id") == F.col("node")).select("id", "vec", F.when(F.col("held") >= degree, F.col("worst")).otherwise(float("-inf")).cast("float").alias("worst"))
+    dealt = points.select("node", "dim", "vec", F.posexplode("leaves").alias("deal", "leaf"))
+    # A leaf with many rows is cut at random, each time otherwise; its members have near ones in every part.
+    groups = chunked(dealt, ["dim", "deal", "leaf"], 2 * leaf, "node", "deal").groupBy("dim", "deal", "leaf", "chunk").agg(F.collect_list("node").alias("ids"), F.collect_list("vec").alias("vecs"))
+    mates = by_rows(groups.select("ids", "vecs"), "node bigint, others array<bigint>, scores array<float>", leaf_mates(degree), 4)
+    per_node = mates.groupBy("node").agg(F.collect_list("others").alias("others"), F.collect_list("scores").alias("scores"))
+    graph = saved(by_rows(per_node, PAIR, leaf_best(degree)).withColumn("fresh", F.lit(True)))
+    vecs = points.select("node", "vec")
+
+    for turn in range(rounds):
+        held = graph.groupBy("node").agg(F.when(F.count(F.lit(1)) >= degree, F.min("score")).otherwise(float("-inf")).cast("float").alias("worst"))
+        info = vecs.join(held, "node").select(F.col("node").alias("id"), "vec", "worst")
         # Forward and a bounded share of reverse neighbours, the latter by a hash that changes with the round.
         back = graph.select(F.col("other").alias("node"), F.col("node").alias("other"), "fresh", F.xxhash64("node", "other", F.lit(turn)).alias("h"))
-        back = top_of(back, REVERSE, ("node",), "h").drop("h")
-        both = graph.select("node", "other", "fresh").unionByName(back).groupBy("node", "other").agg(F.max("fresh").alias("fresh"))
-        member = F.struct(F.col("id"), F.col("vec"), F.col("worst"), F.col("fresh"))
+        both = graph.select("node", "other", "fresh").unionByName(top_of(back, REVERSE, ["node"], "h").drop("h"))
+        member = F.struct("id", "vec", "worst", "fresh")
         gathered = both.join(info, F.col("other") == F.col("id")).groupBy("node").agg(F.collect_list(member).alias("members"))
         offers = by_rows(gathered.select("members"), PAIR, local_join(OFFERS), 64).groupBy("node", "other").agg(F.max("score").alias("score"))
         # An old pair stays old; offers of pairs that are there already add nothing.
         merged = graph.select("node", "other", "score", F.lit(0).alias("new")).unionByName(offers.select("node", "other", "score", F.lit(1).alias("new")))
         merged = merged.groupBy("node", "other").agg(F.max("score").alias("score"), F.min("new").alias("new"))
-        after = saved(top_of(merged, degree).select("node", "other", "score", (F.col("new") == 1).alias("fresh")))
+        after = saved(top_of(merged, degree, ["node"], F.desc("score"), "other").select("node", "other", "score", (F.col("new") == 1).alias("fresh")))
         share = after.agg(F.avg(F.col("fresh").cast("double"))).first()[0] or 0.0
         drop_saved(graph)
         graph = after
@@ -189,70 +239,72 @@ def build(points: DataFrame, n: int, degree: int = DEGREE, trees: int = TREES, l
     return graph.select("node", "other", "score")
 
 
-def search(points: DataFrame, graph: DataFrame, queries: Column, k: int = 20, beam: int = BEAM, expand: int = EXPAND, hops: int = HOPS) -> DataFrame:
-    """(query, rank, id, score) for the points that `queries` picks."""
+def search(classes: DataFrame, points: DataFrame, graph: DataFrame, asked: DataFrame, beam: int = BEAM, expand: int = EXPAND) -> DataFrame:
+    """(query, ids): the nodes of each query's beam, for the queries (query), which are nodes."""
     # A node's neighbours both ways, so that what names a node is reached from it too.
-    both = graph.select("node", "other").union(top_of(graph.select(F.col("other").alias("node"), F.col("node").alias("other"), "score"), REVERSE).select("node", "other")).distinct()
-    vec = halved(points)
-    adjacency = saved(both.join(vec, F.col("other") == F.col("id")).groupBy("node").agg(F.collect_list("id").alias("ids"), F.collect_list("vec").alias("vecs")))
-    asked = points.filter(queries).select(F.col("id").alias("query"), F.col("v").alias("qvec"))
-    state = saved(asked.select("query", "qvec", F.array("query").alias("ids"), F.array(F.lit(float("inf")).cast("float")).alias("scores"), F.array(F.lit(False)).alias("done")))
-
-    def pick(b: pa.RecordBatch) -> dict[str, pa.Array]:
-        """Each query's best nodes that aren't expanded, unless they are behind its k best by far: the beam's end."""
-        q, v, node = [], [], []
-        for query, vec, ids, done in zip(*[b.column(i) for i in (0, 1, 2, 4)], strict=True):
-            ready = [i for i, d in zip(ids.as_py(), done.as_py(), strict=True) if not d][:expand]
-            q += [query.as_py()] * len(ready)
-            v += [vec.as_py()] * len(ready)
-            node += ready
-        return {"query": pa.array(q, pa.int64()), "qvec": pa.array(v, pa.list_(pa.float64())), "at": pa.array(node, pa.int64())}
+    back = top_of(graph.select(F.col("other").alias("node"), F.col("node").alias("other"), "score"), REVERSE, ["node"], F.desc("score"), "other")
+    both = graph.select("node", "other").union(back.select("node", "other"))
+    adjacency = both.join(points.select(F.col("node").alias("id"), "vec"), F.col("other") == F.col("id")).groupBy("node").agg(F.collect_list("id").alias("ids"), F.collect_list("vec").alias("vecs"))
+    adjacency = saved(adjacency)
+    start = asked.join(classes.select("node", "v"), F.col("query") == F.col("node"))
+    state = saved(start.select("query", F.col("v").cast("array<float>").alias("qvec"), F.array("query").alias("ids"), F.array(F.lit(float("inf")).cast("float")).alias("scores"), F.array(F.lit(False)).alias("done")))
 
     def score(b: pa.RecordBatch) -> dict[str, pa.Array]:
-        out, n = [], []
-        for vec, vecs in zip(b.column(1), b.column(3), strict=True):
-            x = np.stack([np.frombuffer(v, "f2") for v in vecs.as_py()]).astype("f4")
-            out.append((x[:, :-1] @ np.array(vec.as_py(), "f4")).tolist())
-            n.append(len(x))
-        return {"query": b.column(0), "ids": b.column(2), "scores": pa.array(out, pa.list_(pa.float32()))}
+        out, ids, vecs = [], b.column(2).values.to_numpy(), b.column(3).values
+        for q, (lo, hi) in zip(b.column(1), spans(b.column(2)), strict=True):
+            out.append(unpacked(vecs, lo, hi)[:, :-1] @ q.values.to_numpy())
+        return {"query": b.column(0), "ids": lists([ids[lo:hi] for lo, hi in spans(b.column(2))], pa.int64()), "scores": lists(out, pa.float32())}
 
     def update(b: pa.RecordBatch) -> dict[str, pa.Array]:
-        cols = {"query": b.column(0), "qvec": b.column(1)}
-        ids, scores, done, going = [], [], [], []
-        for query, i0, s0, d0, more_i, more_s in zip(*[b.column(i) for i in (0, 2, 3, 4, 5, 6)], strict=True):
-            old, was = i0.as_py(), d0.as_py()
-            left = expand
-            for x, d in enumerate(was):  # what `pick` took is expanded now
-                if not d and left:
-                    was[x], left = True, left - 1
-            have = {i: (s, d) for i, s, d in zip(old, s0.as_py(), was, strict=True)}
-            for li, ls in zip(more_i.as_py() or [], more_s.as_py() or [], strict=True):
-                for i, s in zip(li, ls, strict=True):
-                    have.setdefault(i, (s, False))
-            rank = sorted(have.items(), key=lambda e: (-e[1][0], e[0]))[: beam + 1]
-            ids.append([i for i, _ in rank])
-            scores.append([s for _, (s, _) in rank])
-            done.append([d for _, (_, d) in rank])
-            going.append(not all(done[-1]))
-        return cols | {"ids": pa.array(ids, pa.list_(pa.int64())), "scores": pa.array(scores, pa.list_(pa.float32())), "done": pa.array(done, pa.list_(pa.bool_()))}
-
-    for _ in range(hops):
-        frontier = by_rows(state, "query bigint, qvec array<double>, at bigint", pick, 128)
-        met = by_rows(frontier.join(adjacency, F.col("at") == F.col("node")).select("query", "qvec", "ids", "vecs"), "query bigint, ids array<bigint>, scores array<float>", score, 64)
+        out: list[list] = [[], [], []]
+        more_ids, more_scores = b.column(5), b.column(6)
+        for k in range(b.num_rows):
+            ids, scores, done = (np.array(b.column(c)[k].as_py(), t) for c, t in ((2, "i8"), (3, "f4"), (4, bool)))
+            done[np.flatnonzero(~done)[:expand]] = True  # what was joined is expanded now
+            if more_ids[k].is_valid:
+                met, s = more_ids[k].values.flatten().to_numpy(), more_scores[k].values.flatten().to_numpy()
+                met, first = np.unique(met, return_index=True)
+                new = ~np.isin(met, ids)
+                ids, scores, done = np.append(ids, met[new]), np.append(scores, s[first][new]), np.append(done, np.zeros(new.sum(), bool))
+            top = np.lexsort((ids, -scores))[: beam + 1]
+            for o, c in zip(out, (ids, scores, done), strict=True):
+                o.append(c[top])
+        return {"query": b.column(0), "qvec": b.column(1), "ids": lists(out[0], pa.int64()), "scores": lists(out[1], pa.float32()), "done": lists(out[2], pa.bool_())}
+
+    # A node that leaves a beam stays out, as a beam only gets better, so each is expanded once and the hops end.
+    while True:
+        ready = F.slice(F.filter(F.arrays_zip("ids", "done"), lambda x: ~x["done"]), 1, expand)
+        frontier = state.select("query", "qvec", F.explode(ready).alias("x")).select("query", "qvec", F.col("x.ids").alias("at"))
+        met = by_rows(frontier.join(adjacency, F.col("at") == F.col("node")).select("query", "qvec", "ids", "vecs"), "query bigint, ids array<bigint>, scores array<float>", score, 256)
         gathered = met.groupBy("query").agg(F.collect_list("ids").alias("more_ids"), F.collect_list("scores").alias("more_scores"))
-        after = saved(by_rows(state.join(gathered, "query", "left").select("query", "qvec", "ids", "scores", "done", "more_ids", "more_scores"), "query bigint, qvec array<double>, ids array<bigint>, scores array<float>, done array<boolean>", update, 128))
+        after = saved(by_rows(state.join(gathered, "query", "left").select("query", "qvec", "ids", "scores", "done", "more_ids", "more_scores"), "query bigint, qvec array<float>, ids array<bigint>, scores array<float>, done array<boolean>", update, 256))
         drop_saved(state)
         state = after
         if state.filter(F.exists("done", lambda x: ~x)).isEmpty():
             break
-    # Exact scores for the best of the beam: some more than k, as the search scored in single precision.
-    found = state.select("query", "qvec", F.explode(F.slice("ids", 1, 2 * k + 11)).alias("id")).filter("query <> id")
-    exact = found.join(points.select("id", "v"), "id").select("query", "id", F.aggregate(F.zip_with("qvec", "v", lambda a, x: a * x), F.lit(0.0), lambda a, x: a + x).alias("score"))
-    w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    return exact.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query", "rank", "id", "score")
+    drop_saved(adjacency)
+    return state.select("query", "ids")
 
 
 def nearest(df: DataFrame, queries: Column, key: str = "vec_id", vec: str = "embedding", k: int = 20) -> DataFrame:
-    """Index all rows of `df` and search those that `queries`, a condition on `id`, picks."""
-    points, n = prepared(df, key, vec)
-    return search(points, build(points, n), queries, k)
+    """(query, rank, id, score): index all rows of `df` and search those that `queries`, a condition on `id`, picks."""
+    rows = usable_rows(df, key, vec)
+    classes = classes_of(rows, k + 1)
+    points = points_of(classes)
+    graph = build(points)
+    asking = rows.filter(queries).join(classes.select("node", F.col("v").alias("_v")), F.col("v") == F.col("_v")).select(F.col("id").alias("query_id"), F.col("node").alias("query"))
+    asked = saved(asking)
+    beam = search(classes, points, graph, asked.select("query").distinct())
+    # Exact scores of the whole beam; a class has a member at least, so the best k + 1 classes hold the best k rows.
+    found = beam.select("query", F.explode("ids").alias("node")).join(classes, "node").select("query", "node", "v", "ids")
+    own = classes.select(F.col("node").alias("query"), F.col("v").cast("array<double>").alias("qv"))
+    product = F.aggregate(F.zip_with("qv", F.col("v").cast("array<double>"), lambda a, x: a * x), F.lit(0.0), lambda a, x: a + x)
+    exact = found.join(own, "query").select("query", "node", "ids", product.alias("score"))
+    few = top_of(exact, k + 1, ["query"], F.desc("score"), F.col("ids")[0])
+    per_query = few.groupBy("query").agg(F.collect_list(F.struct("node", "score", "ids")).alias("found"))
+    # The query's own row is left out once, from the class that it is in.
+    mine = lambda c: F.when(c["node"] == F.col("query"), F.coalesce(F.array_position(c["ids"], F.col("query_id")), F.lit(0))).otherwise(0)
+    members = lambda c: F.filter(c["ids"], lambda x, i: i + 1 != mine(c))
+    ranked = F.flatten(F.transform("found", lambda c: F.transform(members(c), lambda i: F.struct((-c["score"]).alias("less"), i.alias("id")))))
+    out = asked.join(per_query, "query").select("query_id", F.posexplode(F.slice(F.array_sort(ranked), 1, k)).alias("at", "x"))
+    return out.select(F.col("query_id").alias("query"), (F.col("at") + 1).alias("rank"), F.col("x.id").alias("id"), (-F.col("x.less")).alias("score"))

@@ -26,13 +26,13 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(n, -1) if n else flat.reshape(0, 0)
 
 
-def chunked(df: DataFrame, keys: list[str], most: int, salt: str) -> DataFrame:
+def chunked(df: DataFrame, keys: list[str], most: int, *salt: str) -> DataFrame:
     """`df` with n_chunks per group of `keys` (1 unless it has over `most` rows) and a chunk number hashed from `salt`."""
     large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")).filter(F.col("n_rows") > most)
     large = large.select(*keys, F.ceil(F.col("n_rows") / most).cast("int").alias("n_chunks"))
     small_side = large.limit(FEW + 1).count() <= FEW
     out = df.join(F.broadcast(large) if small_side else large, keys, "left").withColumn("n_chunks", F.coalesce("n_chunks", F.lit(1)))
-    return out.withColumn("chunk", F.pmod(F.xxhash64(salt), F.col("n_chunks")).cast("int"))
+    return out.withColumn("chunk", F.pmod(F.xxhash64(*salt), F.col("n_chunks")).cast("int"))
 
 
 def in_blocks(df: DataFrame) -> DataFrame:

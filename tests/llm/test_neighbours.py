@@ -46,17 +46,46 @@ def test_query(spark):
     assert recall(got, want) >= 0.9
 
 
-def test_trees_rounds_and_hot_leaves(spark):
+def test_rounds_and_hot_leaves(spark, monkeypatch):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(1200, 12)) * rng.uniform(0.5, 2, size=(1200, 1))
     x[:400] = x[0] + rng.normal(size=(400, 12)) * 0.001  # a third of the rows nearly alike
+    x[400:600] = x[400]  # and copies
     rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    points, n = N.prepared(df, "vec_id", "embedding")
-    graph = N.build(points, n, leaf=60, trees=4)
+    points = N.points_of(N.classes_of(N.usable_rows(df, "vec_id", "embedding"), 21), leaf=60)
+    assert points.count() == 1001 and points.filter(F.size("leaves") == N.DEALS).count() == 1001
+    graph = N.build(points, leaf=60)
     assert graph.groupBy("node").count().filter(F.col("count") > N.DEGREE).count() == 0
-    found = result(N.search(points, graph, F.col("id") % 15 == 0))
-    assert recall(found, brute(rows, range(0, 1200, 15))) >= 0.9
+    monkeypatch.setattr(N.points_of, "__defaults__", (60, N.DEALS))
+    found = result(N.nearest(df, F.col("id") % 15 == 0))
+    want = brute(rows, range(0, 1200, 15))
+    assert set(found) == set(want) and all(len(v) == 20 for v in found.values())
+    assert recall(found, want) >= 0.9
+    # Of equal rows the smallest ids stand first.
+    copies = [i for i, _ in found[405] if 400 <= i < 600]
+    assert copies == sorted(copies) and 405 not in copies
+
+
+def test_repeated_rows(spark):
+    rows = [(20, [1.0, 0.5]), (20, [1.0, 0.5]), (20, [0.5, 1.0]), (1, [1.0, 1.0]), (2, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["query"], r["rank"], r["id"], r["score"]) for r in N.nearest(df, F.col("id") % 20 == 0).collect())
+    first = [(1, 1, 1.5), (2, 2, 1.5), (3, 20, 1.25), (4, 20, 1.0)]
+    other = [(1, 1, 1.5), (2, 2, 1.5), (3, 20, 1.0), (4, 20, 1.0)]
+    assert got == sorted((20, *r) for r in first + first + other)
+    text = df.selectExpr("concat('k', vec_id) AS vec_id", "cast(embedding AS array<float>) AS embedding")
+    assert N.nearest(text, F.col("id") == "k1").count() == 4
+
+
+def test_two_lengths(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, [float(v) for v in rng.normal(size=4 if i % 3 else 6)]) for i in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = result(N.nearest(df, F.col("id") % 20 == 0))
+    for q in range(0, 120, 20):
+        same = [r for r in rows if len(r[1]) == len(rows[q][1])]
+        assert [i for i, _ in found[q]] == [i for i, _ in brute(same, [q])[q]]
 
 
 def test_edges(spark):

@@ -41,7 +41,7 @@ def test_hard_texts(spark):
     got = {r.doc_id: [(x.kind, x.start, x.end) for x in r.pii if x.kind in pii.BASE] for r in pii.find_pii(df).collect()}
     assert got == {i: plain(t) for i, t in enumerate(HARD)}
     more = {r.doc_id: [(x.kind, x.score) for x in r.pii if x.kind not in pii.BASE] for r in pii.find_pii(df).collect()}
-    assert [k for k, _ in more[10]] == ["iban"] and [k for k, _ in more[11]] == ["ssn"]
+    assert [k for k, _ in more[10]] == ["iban"] and [k for k, _ in more[11]] == ["ssn", "ssn"]
     assert pii.find_pii(df.filter("false")).count() == 0
 
 
@@ -81,5 +81,29 @@ def test_what_follows_or_precedes_hides_nothing(spark):
 def test_context_goes_on_over_blocks(spark):
     far = "523-45-6789 " * (pii.BLOCK - 2)
     df = spark.createDataFrame([(1, far + "ssn 123-45-6789 " + "123-45-6789 " * 5)], "doc_id long, text string")
-    # The word is within 40 characters of the first four, of which two are in the next block.
-    assert [x.start - len(far) for x in pii.find_pii(df).first().pii] == [4, 16, 28, 40]
+    # The word is within 40 characters of four before it (the first ends 37 ahead of it) and the first four behind, of which two are in the next block.
+    assert [x.start - len(far) for x in pii.find_pii(df).first().pii] == [-48, -36, -24, -12, 4, 16, 28, 40]
+
+
+def test_whole_words_on_both_sides(spark):
+    cases = {
+        "123-45-6789 is my social security number": 1, "syntax 123-45-6789": 0, "123-45-6789 syntax": 0, "taxi 123-45-6789": 0, "tax 123-45-6789": 1, "Taxes? TAX: 123-45-6789": 1, "x" * 9 + " syntax" + "-" * 37 + " 123-45-6789": 0,
+        "tax" + "." * 37 + "123-45-6789": 1, "tax" + "." * 38 + "123-45-6789": 0, "123-45-6789" + "." * 37 + "taxi": 0, "123-45-6789" + "." * 37 + "tax": 1, "123-45-6789" + "." * 38 + "tax": 0, "no words at all 123-45-6789": 0, "ssn123-45-6789": 1,
+    }
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: sum(x.kind == "ssn" for x in r.pii) for r in pii.find_pii(df).collect()}
+    assert got == dict(enumerate(cases.values()))
+    mail = pii.find_pii(spark.createDataFrame([(1, "a@b.co"), (2, "my email a@b.co"), (3, "a@b.co, mail me"), (4, "blackmail a@b.co")], "doc_id long, text string"))
+    assert [round(r.pii[0].score, 3) for r in mail.orderBy("doc_id").collect()] == [0.8, 1.0, 1.0, 0.8]
+
+
+def test_redact_many_spans(spark):
+    text = "".join(f"a{i}@b.co é 1.2.3.{i % 300} " for i in range(1500)) + "end"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    spans = sorted((x.start, x.end, x.kind) for x in pii.find_pii(df).first().pii)
+    out, at = "", 0
+    for a, b, kind in spans:
+        if a >= at:
+            out += text[at:a] + f"<{kind.upper()}>"
+        at = max(at, b)
+    assert len(spans) > 2000 and pii.redact(df).first().text == out + text[at:]
