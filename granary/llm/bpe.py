@@ -2,15 +2,13 @@
 
 The automaton begins with one state that loops over all base symbols. The gadget of a merge (a, b), applied in merge
 order, takes the b-arc from the state that a-arcs lead to and adds ab-arcs beside the a-arcs, to where the b-arc led.
-Since all arcs of one label lead to one state, a state is named by its last label, and an arc (s, t) exists when
+Since all arcs of one label lead to one state, a state is named by its last label, and the automaton is a table of one bit
+for each state and label. `compiled` builds it merge by merge: the new label's column is that of a, its row that of b
+before the merge, and the bit of (a, b) goes. States that end a word have no arcs and need no row, and labels with equal
+columns share one, so a vocabulary of 49,000 takes some 26 MB; it is built once on the driver and broadcast.
 
-* t was made at or after s, from (l, r): the arc (s, l) existed when t was made, that merge included;
-* else s was made later, from (l, r): the arc (r, t) existed just before s was made;
-* and (s, t) itself is not merged so far.
-
-The final automaton of 49,000 labels has some 10^9 arcs, so arcs are worked out from these rules when first used and
-kept in a table. It accepts exactly one path for each word: its BPE encoding. Encoding runs over a word once, keeping for
-each prefix the one label that its path ends in. Decoding emits the labels of the arcs.
+The automaton accepts exactly one path for each word: its BPE encoding. Encoding runs over a word once by the table,
+keeping for each prefix the one label that its path ends in. Decoding emits the labels of the arcs.
 
 Characters that Unicode got after version 15 may be classed or lowered otherwise than the library does.
 Null texts count as empty and have no tokens. Texts are whole and of any length; rows are independent of each other.
@@ -35,7 +33,7 @@ from .common import fresh
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPACE = "[\t-\r \x85\xa0  -     　]+"
 END = "</w>"
-#: Most entries kept of each table; beyond that it starts anew. It only saves work.
+#: Most words and stretches kept with their tokens; beyond that the table starts anew. It only saves work.
 TABLE = 500_000
 
 
@@ -46,55 +44,67 @@ def byte_symbols() -> list[str]:
     return [chr(b if b in own else next(spare)) for b in range(256)]
 
 
+def compiled(labels: list[str], merges: list[tuple[str, str]], rows: dict[str, int]) -> tuple[bytes, dict[str, int]]:
+    """The columns of the automaton's table, one bit for each of `rows`, and where each label's column begins.
+
+    `labels` has the base symbols, then what each merge makes.
+    """
+    at = {t: i for i, t in enumerate(labels)}
+    base = len(labels) - len(merges)
+    table = np.zeros((len(labels), len(rows) // 8 + 1), np.uint8)
+    first = np.zeros(table.shape[1] * 8, bool)
+    first[[rows[t] for t in labels[:base] if t in rows]] = True
+    table[:base] = np.packbits(first, bitorder="little")
+    for n, (a, b) in enumerate(merges, base):
+        s, r = rows[a], rows.get(b)
+        after = table[:n, r >> 3] >> (r & 7) & 1 if r is not None else None  # b's row before this merge
+        table[at[b], s >> 3] &= 255 ^ 1 << (s & 7)
+        table[n] = table[at[a]]
+        if after is not None:
+            new = rows[a + b]
+            table[: n + 1, new >> 3] |= np.append(after, after[at[a]]) << (new & 7)
+    kinds, which = np.unique(table.view(f"V{table.shape[1]}").ravel(), return_inverse=True)
+    return kinds.tobytes(), {t: int(k) * table.shape[1] for t, k in zip(labels, which.ravel(), strict=True)}
+
+
 class Automaton:
-    """The merges as a lazily built automaton over labels."""
+    """The merges as a deterministic automaton: a table of states by labels."""
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]]):
-        self.ids = vocab
-        self.merged = {pair: i + 1 for i, pair in enumerate(merges)}
-        self.born = {a + b: i + 1 for i, (a, b) in reversed(list(enumerate(merges)))}
-        self.parts = {a + b: (a, b) for a, b in reversed(merges)}
+        made = [a + b for a, b in merges]
+        if len(set(made)) < len(made):
+            raise ValueError("two merges make one label")
+        labels = [*(set(vocab) - set(made)), *made]
+        # A state is named by its last label; after one that ends a word nothing follows.
+        self.rows = {t: i for i, t in enumerate(t for t in labels if not t.endswith(END))}
+        self.table, self.column = compiled(labels, merges, self.rows)
         self.longest = max(map(len, vocab), default=0)
-        self.arcs: dict[tuple[str, str], bool] = {}
-
-    def arc(self, s: str, t: str, upto: int) -> bool:
-        """The arc labelled t from the state after s, once the first `upto` merges are in."""
-        while True:
-            if self.merged.get((s, t), upto + 1) <= upto:
-                return False
-            bs, bt = self.born.get(s, 0), self.born.get(t, 0)
-            if not bs and not bt:
-                return True
-            if bt >= bs:
-                t, upto = self.parts[t][0], bt
-            else:
-                s, upto = self.parts[s][1], bs - 1
+
+    def arc(self, s: str, t: str) -> bool:
+        """Whether the state of label s has an arc of label t."""
+        r = self.rows[s]
+        return bool(self.table[self.column[t] + (r >> 3)] >> (r & 7) & 1)
 
     def path(self, symbols: list[str]) -> list[str]:
         """The labels of the only accepting path over the symbols."""
-        n, arcs, born, ends = len(symbols), self.arcs, self.born, [""]
-        sizes = [0]
+        n, table, column, rows = len(symbols), self.table, self.column, self.rows
+        ends, sizes, states = [""], [0], [-1]
         for i in range(1, n + 1):
             t, found = "", None
             for k in range(i - 1, -1, -1):
                 t = symbols[k] + t
                 if len(t) > self.longest:
                     break
-                if k < i - 1 and t not in born:
+                if (c := column.get(t)) is None:
                     continue
-                s = ends[k]
-                if k:
-                    if (go := arcs.get((s, t))) is None:
-                        if len(arcs) >= 2 * TABLE:
-                            arcs.clear()
-                        go = arcs[s, t] = self.arc(s, t, len(self.merged))
-                    if not go:
-                        continue
-                found = t, i - k
-                break
+                r = states[k]
+                if r < 0 or table[c + (r >> 3)] >> (r & 7) & 1:
+                    found = t, i - k
+                    break
             assert found, "no path: a symbol is missing from the vocabulary"
             ends.append(found[0])
             sizes.append(found[1])
+            states.append(rows.get(found[0], 0))
         out = []
         while n:
             out.append(ends[n])
@@ -122,11 +132,13 @@ class Chunks(dict):
 class Tokenizer:
     """A tokenizers-library file of this kind: NFC, white space, lower case; split words; byte-level BPE with word ends."""
 
-    def __init__(self, spec: str):
+    def __init__(self, spec: str, auto: Automaton | None = None):
         f = json.loads(spec)
         model = f["model"]
         pairs = [tuple(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
-        self.auto = Automaton(model["vocab"], pairs)
+        self.ids = model["vocab"]
+        special = {t["content"] for t in f["added_tokens"]}
+        self.auto = auto or Automaton({t: i for t, i in self.ids.items() if t not in special}, pairs)
         self.special = {t["content"]: t["id"] for t in f["added_tokens"]}
         self.label = {i: t for t, i in [*model["vocab"].items(), *self.special.items()]}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
@@ -141,7 +153,7 @@ class Tokenizer:
             s = [self.symbols[b] for b in w.encode("utf-8", "surrogatepass")]
             s[-1] += END
             labels = self.auto.path(s)
-            hit = len(labels), " ".join(str(self.auto.ids[t]) for t in labels), " ".join(labels)
+            hit = len(labels), " ".join(str(self.ids[t]) for t in labels), " ".join(labels)
             if len(w) < 100:
                 self.word_table[w] = hit
         return hit
@@ -182,10 +194,10 @@ def spec_of(path: str) -> str:
 _made: dict[str, Tokenizer] = {}
 
 
-def tokenizer(spec: str) -> Tokenizer:
-    """One tokenizer per Python worker."""
+def tokenizer(spec: str, auto: Automaton | None = None) -> Tokenizer:
+    """One tokenizer per process; only the driver compiles, a worker is given the automaton."""
     if (key := hashlib.sha256(spec.encode()).hexdigest()) not in _made:
-        _made[key] = Tokenizer(spec)
+        _made[key] = Tokenizer(spec, auto)
     return _made[key]
 
 
@@ -220,12 +232,14 @@ def round_trip(df: DataFrame, path: str, text: str = "text") -> DataFrame:
 def _mapped(df: DataFrame, path: str, column: str, outs: list) -> DataFrame:
     if clash := {o[0].lower() for o in outs} & {c.lower() for c in df.columns}:
         raise ValueError(f"columns {sorted(clash)} exist")
-    spec = df.sparkSession.sparkContext.broadcast(spec_of(path))
+    spec = spec_of(path)
+    # Both are of the vocabulary's size, some 30 MB together.
+    held = df.sparkSession.sparkContext.broadcast((spec, tokenizer(spec).auto))
     types = {"bigint": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
     at = df.columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizer(spec.value)
+        tok = tokenizer(*held.value)
         for whole in batches:
             for k in range(0, whole.num_rows, 256):
                 b = whole.slice(k, 256)

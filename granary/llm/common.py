@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -33,19 +35,45 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{at.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+_written: list[str] = []
+
+
 def saved(df: DataFrame) -> DataFrame:
     """`df` written to the shared folder and read back: a cut of the lineage that outlives lost executors."""
     path = shared_dir(df.sparkSession)
+    _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_saved(df: DataFrame) -> None:
     """Delete the files behind a frame that `saved` gave and nothing reads any more."""
-    spark = df.sparkSession
     for parent in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(df.sparkSession, parent)
+
+
+@contextmanager
+def work_tables(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes at its end what `saved` wrote within, but for a table that the function given has written."""
+    before, kept = len(_written), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        out = saved(df)
+        kept.add(_written[-1])
+        return out
+
+    try:
+        yield keep
+    finally:
+        for path in _written[before:]:
+            if path not in kept:
+                delete(spark, path)
+        _written[before:] = [p for p in _written[before:] if p in kept]
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -14,10 +14,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, saved
 
 #: A mean above this is drawn as a sum of that many equal parts, so that no exponential underflows.
 PART = 16.0
+#: Sources whose rates are broadcast: some megabytes at most.
+FEW = 10_000
 #: Draws end here: for a mean of at most PART, counts beyond have probability below 1e-17, less than one step of `unit`.
 MOST = 80
 
@@ -61,20 +63,12 @@ def mix(df: DataFrame, weights: dict[str | None, float], key: str = "doc_id", so
     """`df` with each row as often as drawn, in a global random order; adds the copy's number and the order key."""
     if clash := {copy.lower(), order.lower()} & {c.lower() for c in df.columns}:
         raise ValueError(f"columns {sorted(clash)} exist")
-    (rate,) = fresh(df, "_rate")
+    rate, name = fresh(df, "_rate", "_source")
     per_source = rates(df, weights, source, text, rest, total)
-    # Listed sources are as many as the parameter has; the others share rest, yet have sizes and so rates of their own.
-    # Their number is checked: small enough for a map in the plan, or else a join.
-    found = per_source.limit(1001).collect()
-    if len(found) <= 1000:
-        mean = F.lit(0.0)
-        if found:
-            table = F.create_map(*[x for r in found if r.source is not None for x in (F.lit(r.source), F.lit(r.rate))]) if any(r.source is not None for r in found) else None
-            null_rate = next((r.rate for r in found if r.source is None), 0.0)
-            mean = F.when(F.col(source).isNull(), F.lit(null_rate)).otherwise(F.coalesce(F.try_element_at(table, F.col(source)), F.lit(0.0)) if table is not None else F.lit(0.0))
-        rated = df.withColumn(rate, mean)
-    else:
-        rated = df.join(per_source.withColumnRenamed("rate", rate).withColumnRenamed("source", f"{rate}_source"), F.col(source).eqNullSafe(F.col(f"{rate}_source")), "left").drop(f"{rate}_source")
+    # One row for each source. Few of them are broadcast, checked by count; many meet the rows by a shuffle.
+    per_source = saved(per_source.select(F.col("source").alias(name), F.col("rate").alias(rate)))
+    small = per_source.limit(FEW + 1).count() <= FEW
+    rated = df.join(F.broadcast(per_source) if small else per_source, F.col(f"`{source}`").eqNullSafe(F.col(name)), "left").drop(name).withColumn(rate, F.coalesce(rate, F.lit(0.0)))
     parts = F.greatest(F.lit(1), F.ceil(F.col(rate) / PART)).cast("int")
     draws = F.transform(F.sequence(F.lit(1), parts), lambda i: poisson(unit(seed, F.col(key), i), F.col(rate) / parts))
     n = F.aggregate(draws, F.lit(0).cast("long"), lambda a, x: a + x)

@@ -6,14 +6,12 @@ radius // segments bits of some segment, so a table of exact segment values is m
 value, and full distances are verified. Equal fingerprints are one class from the start, so copies never meet in pairs.
 
 Null and empty texts have the fingerprint zero and link like any other. Case folds for A-Z only. Texts are whole, in
-bytes, of any length. Ids are taken as unique; a null id names no component, and rows that
-have one are linked through but never named by it.
+bytes, of any length. Every row gives a row, also where ids repeat; a null id names no component, and rows that have one
+are linked through but never named by it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -37,16 +35,19 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int("".join("1" if 2 * c > n else "0" for c in counts), 2)
 
 
-def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
-    """(key, fp): the fingerprint as a signed long of the same 64 bits."""
+def fingerprint_of(text: Column, words: int) -> Column:
+    """The fingerprint as a signed long of the same 64 bits."""
+
+    @F.arrow_udf("bigint")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array(np.array([fingerprint(t.as_py(), words) for t in texts], np.uint64).view(np.int64))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fp = np.array([fingerprint(t.as_py(), words) for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["key", "fp"])
+    return run(text.cast("string"))
 
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(run, f"key {kind}, fp bigint")
+
+def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
+    """(key, fp) of every row."""
+    return df.select(F.col(f"`{key}`").alias("key"), fingerprint_of(F.col(f"`{text}`"), words).alias("fp"))
 
 
 def ball(bits: int, radius: int) -> list[int]:
@@ -74,8 +75,8 @@ def links(fps: DataFrame, radius: int = 3, segments: int = 2) -> DataFrame:
     return probes.join(table, "k").filter((F.col("a") < F.col("b")) & (differ <= radius)).select("a", "b").distinct()
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, radius: int = 3) -> DataFrame:
-    """(key, fingerprint, component_id): 16 hex digits, and the smallest key reachable over links, its own included."""
+def grouped(df: DataFrame, key: str, text: str, words: int, radius: int) -> DataFrame:
+    """(key, fp, component_id) of every row."""
     docs = saved(fingerprints(df, key, text, words))
     classes = saved(docs.groupBy("fp").agg(F.min("key").alias("rep")))
     joined = components(links(classes.select("fp"), radius))
@@ -83,12 +84,21 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     group = F.coalesce("component", "fp")
     named = classes.join(joined, classes["fp"] == joined["node"], "left").select("fp", "rep", group.alias("group"))
     least = named.groupBy("group").agg(F.min("rep").alias("component_id"))
-    ids = named.join(least, "group").select("fp", "component_id")
-    return docs.join(ids, "fp").select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return docs.join(named.join(least, "group").select("fp", "component_id"), "fp")
+
+
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, radius: int = 3) -> DataFrame:
+    """(key, fingerprint, component_id): 16 hex digits, and the smallest key reachable over links, its own included."""
+    found = grouped(df, key, text, words, radius)
+    return found.select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, radius: int = 3) -> DataFrame:
-    """`df` without the documents that aren't the smallest of their component; rows with a null key all stay."""
-    (other,) = fresh(df, "_dropped")
-    dropped = near_duplicates(df, key, text, words, radius).filter(F.col(key) != F.col("component_id")).select(F.col(key).alias(other))
-    return df.join(dropped, df[key] == dropped[other], "left_anti")
+    """`df` without the rows that aren't the smallest of their component; rows with a null key all stay.
+
+    Rows with one key are told apart by their fingerprints, so a text that is alone stays whatever else has its key.
+    """
+    name, other, mark = fresh(df, "_fp", "_dropped", "_mark")
+    dropped = grouped(df, key, text, words, radius).filter(F.col("key") != F.col("component_id")).select(F.col("key").alias(other), F.col("fp").alias(mark)).distinct()
+    marked = df.withColumn(name, fingerprint_of(F.col(f"`{text}`"), words))
+    return marked.join(dropped, (marked[key] == dropped[other]) & (marked[name] == dropped[mark]), "left_anti").drop(name)

@@ -6,24 +6,28 @@ a corpus would move each byte some hundred times, so suffixes are sampled in a w
 windows of one anchor are one stretch; its suffixes from the anchor on, and its prefixes back from the anchor, decide all
 of its windows:
 
-1. A pass over the texts finds the stretches. An aggregation by anchor and content counts them: stretches whose content
-   stands more than once are repeated as a whole, and anchors with one content only repeat nothing else.
+1. A pass over the texts finds the stretches. Anchors that stand once repeat nothing. An aggregation by anchor and
+   content makes equal stretches one; those that stand more than once are repeated as a whole.
 2. One text of each content whose anchor has several goes on. Tasks sort their suffixes and reversed prefixes and
    front-code them; runs are exchanged by anchor and merged by loser trees that never compare a known prefix again.
    The merged orders give common-prefix lengths, and with them which windows of each stretch stand in another.
-   Anchors with very many contents would fill one task: their windows are hashed to 128 bits and counted instead.
+   An anchor with very many contents would fill one task. Its windows are split by where in them the anchor stands, into
+   two halves again and again: all windows of a half share some bytes around the anchor, so its strings are grouped by
+   these too. At the end of this a group is of one window, and needs no merge.
 3. Results meet the stretches of all texts, and per text the covered bytes go.
 
 Null and empty texts have no bytes. Matches never cross texts. Very long texts are cut into pieces of window starts, so
 memory is bounded; a cut stretch is only a shorter one. Copies, repeats within a text and overlaps all count; texts are
-judged as they came. Ids are unique; rows with a null id keep all their bytes and count for no
-other; further columns play no part. Contents are told apart by 128 hashed bits.
+judged as they came. Rows are told apart by a number of their own, so each gives a row, whether its id is null or stands
+on other rows too, and every row's text counts for all others. Further columns play no part. Contents are told apart by
+128 hashed bits.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +42,7 @@ from .vectors import by_rows
 LENGTH, GRAM = 200, 32
 PIECE = 1 << 17  # window starts at a time
 PER_BUCKET, RUN = 12_000, 20_000  # contents merged by one task, and sorted into one set of runs
-HOT = PER_BUCKET  # contents of an anchor that would make a bucket of their own: its windows are counted one by one
+HOT = PER_BUCKET  # contents of a group that would make a bucket of their own: its windows are split in halves
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -114,8 +118,8 @@ def raw(value: pa.Scalar) -> bytes:
     return value.as_buffer().to_pybytes() if value.is_valid else b""
 
 
-def found_in(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(anchor, content, doc, place): every stretch of every text."""
+def found_in(blobs: DataFrame, length: int, gram: int) -> DataFrame:
+    """(anchor, content, doc, place): every stretch of every text of (doc, blob)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
@@ -128,7 +132,7 @@ def found_in(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
         for b in batches:
             for i in range(b.num_rows):
-                for g, c, start, ahead, windows in stretches(raw(b.column(1)[i]), length, gram):
+                for g, c, start, ahead, windows in stretches(unsqueezed(b.column(1)[i]), length, gram):
                     held.append((g, c, packed(start, ahead, windows), b.column(0).take(pa.array(np.full(len(g), i)))))
                     rows += len(g)
                     if rows >= 50_000:
@@ -137,17 +141,17 @@ def found_in(docs: DataFrame, length: int, gram: int) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.mapInArrow(run, f"anchor bigint, content bigint, doc {docs.schema[0].dataType.simpleString()}, place bigint")
+    return blobs.mapInArrow(run, "anchor bigint, content bigint, doc bigint, place bigint")
 
 
 def squeezed(docs: DataFrame) -> DataFrame:
-    """(doc, blob): texts compressed for the exchange."""
+    """(key, blob): texts compressed for the exchange."""
 
     def make(b: pa.RecordBatch) -> dict[str, pa.Array]:
         z = zstandard.ZstdCompressor(level=3)
-        return {"doc": b.column(0), "blob": pa.array([z.compress(raw(t)) for t in b.column(1)], pa.binary())}
+        return {"key": b.column(0), "blob": pa.array([z.compress(raw(t)) for t in b.column(1)], pa.binary())}
 
-    return by_rows(docs, f"doc {docs.schema[0].dataType.simpleString()}, blob binary", make, 256)
+    return by_rows(docs, f"key {docs.schema[0].dataType.simpleString()}, blob binary", make, 256)
 
 
 def unsqueezed(value: pa.Scalar) -> bytes:
@@ -156,25 +160,24 @@ def unsqueezed(value: pa.Scalar) -> bytes:
 
 def cut(b: pa.RecordBatch, length: int) -> dict[str, pa.Array]:
     """Each wanted stretch's bytes before its anchor and from it on."""
-    out: dict[str, list] = {k: [] for k in ("anchor", "content", "hot", "left", "right")}
+    out: dict[str, list] = {k: [] for k in ("anchor", "content", "left", "right")}
     for blob, wanted in zip(b.column(0), b.column(1), strict=True):
         data = unsqueezed(blob)
         for w in wanted.as_py():
             start, ahead, windows = w["place"] >> 20, w["place"] >> 10 & 1023, w["place"] & 1023
             out["anchor"].append(w["anchor"])
             out["content"].append(w["content"])
-            out["hot"].append(w["hot"])
             out["left"].append(data[start : start + ahead])
             out["right"].append(data[start + ahead : start + windows - 1 + length])
-    kinds = {"anchor": pa.int64(), "content": pa.int64(), "hot": pa.bool_(), "left": pa.binary(), "right": pa.binary()}
+    kinds = {"anchor": pa.int64(), "content": pa.int64(), "left": pa.binary(), "right": pa.binary()}
     return {k: pa.array(v, kinds[k]) for k, v in out.items()}
 
 
-RUNS = ["bucket", "anchor", "content", "least", "most", *[f"{side}_{x}" for side in ("right", "left") for x in ("at", "lcp", "size", "rest")]]
+RUNS = ["bucket", "anchor", "content", "least", "most", "lo", "hi", *[f"{side}_{x}" for side in ("right", "left") for x in ("at", "lcp", "size", "rest")]]
 
 
 def sorted_runs(buckets: int, length: int):  # noqa: ANN201
-    """Rows (anchor, content, left, right) to one front-coded run per bucket, for each RUN rows of a task."""
+    """Rows (group, anchor, content, lo, hi, left, right) to one front-coded run per bucket, for each RUN rows of a task."""
 
     def flush(rows: list[tuple]) -> pa.RecordBatch:
         by: dict[int, list] = {}
@@ -183,9 +186,10 @@ def sorted_runs(buckets: int, length: int):  # noqa: ANN201
         out: dict[str, list] = {k: [] for k in RUNS}
         for bucket, own in by.items():
             out["bucket"].append(bucket)
-            for k, v, t in (("anchor", [r[0] for r in own], "<i8"), ("content", [r[1] for r in own], "<i8"), ("least", [length - len(r[3]) for r in own], "<u2"), ("most", [len(r[2]) for r in own], "<u2")):
-                out[k].append(np.array(v, t).tobytes())
-            for side, strings in (("right", [r[3] for r in own]), ("left", [r[2][::-1] for r in own])):
+            meta = (("anchor", "<i8", lambda r: r[1]), ("content", "<i8", lambda r: r[2]), ("least", "<u2", lambda r: length - len(r[6])), ("most", "<u2", lambda r: len(r[5])), ("lo", "<u2", lambda r: r[3]), ("hi", "<u2", lambda r: r[4]))
+            for k, t, of in meta:
+                out[k].append(np.array([of(r) for r in own], t).tobytes())
+            for side, strings in (("right", [r[6] for r in own]), ("left", [r[5][::-1] for r in own])):
                 order = sorted(range(len(own)), key=strings.__getitem__)
                 lcp, size, rest = front_code([strings[i] for i in order])
                 for k, v in (("at", np.array(order, "<u4").tobytes()), ("lcp", lcp), ("size", size), ("rest", rest)):
@@ -231,48 +235,60 @@ def merged(b: pa.RecordBatch, length: int) -> dict[str, pa.Array]:
     anchors, contents, masks = [], [], []
     for runs in b.column(0):
         rs = runs.as_py()
-        meta = [np.concatenate([np.frombuffer(r[k], t) for r in rs]) for k, t in (("anchor", "<i8"), ("content", "<i8"), ("least", "<u2"), ("most", "<u2"))]
+        meta = [np.concatenate([np.frombuffer(r[k], t) for r in rs]).astype(np.int64) for k, t in (("anchor", "<i8"), ("content", "<i8"), ("least", "<u2"), ("most", "<u2"), ("lo", "<u2"), ("hi", "<u2"))]
         base = np.cumsum([0] + [len(r["least"]) // 2 for r in rs])
         sides = []
         for side in ("right", "left"):
             order, prefix = merge([decode(*(r[f"{side}_{k}"] for k in ("lcp", "size", "rest"))) for r in rs])
             at = [np.frombuffer(r[f"{side}_at"], "<u4") for r in rs]
             sides.append((np.array([base[i] + at[i][j] for i, j in order], np.int64), np.array(prefix, np.int64)))
-        least, most = meta[2].astype(np.int64), meta[3].astype(np.int64)
-        hit = repeated_windows(least, most, *sides, length)
+        least, most, lo, hi = meta[2:]
+        hit = repeated_windows(np.maximum(least, lo), np.minimum(most, hi - 1), *sides, length)
         for i in np.flatnonzero(hit.any(1)):
             anchors.append(meta[0][i])
             contents.append(meta[1][i])
-            masks.append(np.packbits(hit[i, least[i] : most[i] + 1][::-1]).tobytes())
+            own = np.zeros(most[i] + 1, bool)
+            own[: hit.shape[1]] = hit[i, : most[i] + 1]
+            masks.append(np.packbits(own[least[i] :][::-1]).tobytes())
     return {"anchor": pa.array(anchors, pa.int64()), "content": pa.array(contents, pa.int64()), "mask": pa.array(masks, pa.binary())}
 
 
-def window_hashes(b: pa.RecordBatch, length: int) -> dict[str, pa.Array]:
-    cols = [[], [], [], [], []]
-    h = hasher(length)
-    for anchor, content, left, right in zip(*[c.to_pylist() for c in b.columns], strict=True):
-        x = np.frombuffer(left + right, np.uint8)
-        start = np.arange(len(x) - length + 1)
-        for c, v in zip(cols, (np.full(len(start), anchor), np.full(len(start), content), start, *[h.of(h.sums(x, w), start, start + length, w).view(np.int64) for w in (0, 1)]), strict=True):
-            c.append(v)
-    return {k: pa.array(np.concatenate(c) if c else np.zeros(0, np.int64)) for k, c in zip(("anchor", "content", "window", "h0", "h1"), cols, strict=True)}
+def grouped(strings: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """Strings in groups of at most HOT, each for the windows with lo to hi - 1 bytes before the anchor.
 
-
-def counted(hot: DataFrame, length: int) -> DataFrame:
-    """The masks of stretches whose anchors have too many contents for one task."""
-    rows = by_rows(hot.select("anchor", "content", "left", "right"), "anchor bigint, content bigint, window bigint, h0 bigint, h1 bigint", lambda b: window_hashes(b, length), 256)
-    twice = rows.groupBy("h0", "h1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    hits = rows.join(twice, ["h0", "h1"]).groupBy("anchor", "content").agg(F.collect_list("window").alias("windows"))
-
-    def make(b: pa.RecordBatch) -> dict[str, pa.Array]:
-        masks = []
-        for w in b.column(2):
-            bits = np.zeros(max(w.as_py()) + 1, bool)
-            bits[w.as_py()] = True
-            masks.append(np.packbits(bits).tobytes())
-        return {"anchor": b.column(0), "content": b.column(1), "mask": pa.array(masks, pa.binary())}
-
-    return by_rows(hits, "anchor bigint, content bigint, mask binary", make)
+    Windows of one range share `lo` bytes before and length - hi + 1 from the anchor on, so strings that repeat one another
+    in it are in one group. Also (anchor, content, left, right, lo) of the larger groups of single windows, which all repeat.
+    """
+    cold, single = [], []
+    now = strings.withColumns({"lo": F.lit(0), "hi": F.lit(length)})
+    while True:
+        around = F.expr(f"concat(hex(substring(left, -lo, lo)), '/', hex(substring(right, 1, {length} - hi + 1)))")
+        keyed = now.withColumn("key", F.md5(F.concat_ws("/", "anchor", "lo", "hi", around)))
+        large = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT).select("key")
+        cold.append(keyed.join(large, "key", "left_anti"))
+        hot = saved(keyed.join(large, "key", "left_semi"))
+        single.append(hot.filter("hi - lo = 1"))
+        wide = hot.filter("hi - lo > 1")
+        if wide.isEmpty():
+            break
+        mid = ((F.col("lo") + F.col("hi")) / 2).cast("int")
+        halves = F.explode(F.array(F.struct(F.col("lo").alias("a"), mid.alias("b")), F.struct(mid.alias("a"), F.col("hi").alias("b"))))
+        now = wide.withColumn("half", halves).select("anchor", "content", "left", "right", F.col("half.a").alias("lo"), F.col("half.b").alias("hi"))
+        # A half is for the strings that have a window in it.
+        now = now.filter((F.octet_length("left") >= F.col("lo")) & (F.octet_length("right") >= length - F.col("hi") + 1))
+    joined = lambda parts: reduce(lambda x, y: x.unionByName(y), parts)
+    return joined(cold), joined(single)
+
+
+def one_window(b: pa.RecordBatch, length: int) -> dict[str, pa.Array]:
+    """The masks of strings of which the window with `lo` bytes before the anchor is repeated."""
+    masks = []
+    for left, right, lo in zip(b.column(2), b.column(3), b.column(4).to_pylist(), strict=True):
+        least, most = length - len(right.as_buffer()), len(left.as_buffer())
+        own = np.zeros(most + 1, bool)
+        own[lo] = True
+        masks.append(np.packbits(own[max(least, 0) :][::-1]).tobytes())
+    return {"anchor": b.column(0), "content": b.column(1), "mask": pa.array(masks, pa.binary())}
 
 
 def covered(size: int, hits: list[dict], length: int) -> np.ndarray:
@@ -291,21 +307,25 @@ def covered(size: int, hits: list[dict], length: int) -> np.ndarray:
 
 
 def repeated(df: DataFrame, key: str, text: str, length: int, gram: int) -> tuple[DataFrame, DataFrame]:
-    """(doc, blob) of all texts, and (doc, hits): the repeated stretches of those that have any."""
-    docs = df.select(F.col(f"`{key}`").alias("doc"), F.col(f"`{text}`").cast("string").alias("text"))
-    rows, blobs = found_in(docs.filter("doc IS NOT NULL"), length, gram), squeezed(docs)
-    kinds = rows.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "place")).alias("first"))
-    anchors = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("contents"), F.max("n").alias("most"))
-    # Kept: contents that stand twice, and all contents of anchors that have several.
-    kept = saved(kinds.join(anchors.filter("contents > 1 OR most > 1"), "anchor").filter("contents > 1 OR n > 1"))
-
-    wanted = kept.filter("contents > 1").groupBy("first.doc").agg(F.collect_list(F.struct("anchor", "content", "first.place", (F.col("contents") > HOT).alias("hot"))).alias("wanted"))
-    strings = saved(by_rows(blobs.join(wanted, "doc").select("blob", "wanted"), "anchor bigint, content bigint, hot boolean, left binary, right binary", lambda b: cut(b, length), 64))
-    cold = strings.filter("NOT hot").select("anchor", "content", "left", "right")
+    """(doc, key, blob) of all texts, and (doc, hits): the repeated stretches of those that have any."""
+    docs = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
+    # Written, so a number once given stays.
+    blobs = saved(squeezed(docs).withColumn("doc", F.monotonically_increasing_id()))
+    rows = saved(found_in(blobs.select("doc", "blob"), length, gram))
+    anchors = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), (F.min("content") != F.max("content")).alias("several")).filter("n > 1").drop("n")
+    # Stretches of anchors that stand more than once, equal ones as one: what stands twice repeats, and what differs goes on.
+    kept = rows.join(anchors, "anchor").groupBy("anchor", "content", "several").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "place")).alias("first"))
+    kept = saved(kept)
+
+    wanted = kept.filter("several").groupBy("first.doc").agg(F.collect_list(F.struct("anchor", "content", "first.place")).alias("wanted"))
+    strings = saved(by_rows(blobs.select("doc", "blob").join(wanted, "doc").select("blob", "wanted"), "anchor bigint, content bigint, left binary, right binary", lambda b: cut(b, length), 64))
+    cold, single = grouped(strings, length)
+    cold = cold.select(F.xxhash64("key").alias("group"), "anchor", "content", "lo", "hi", "left", "right")
     buckets = max(1, cold.count() // PER_BUCKET)
     runs = cold.mapInArrow(sorted_runs(buckets, length), ", ".join(f"{k} {'bigint' if k == 'bucket' else 'binary'}" for k in RUNS))
     groups = runs.groupBy("bucket").agg(F.collect_list(F.struct(*RUNS[1:])).alias("runs")).select("runs")
-    masks = by_rows(groups, "anchor bigint, content bigint, mask binary", lambda b: merged(b, length), 1).unionByName(counted(strings.filter("hot"), length))
+    masks = by_rows(groups, "anchor bigint, content bigint, mask binary", lambda b: merged(b, length), 1)
+    masks = masks.unionByName(by_rows(single.select("anchor", "content", "left", "right", "lo"), "anchor bigint, content bigint, mask binary", lambda b: one_window(b, length)))
 
     whole = kept.filter("n > 1").select("anchor", "content", F.lit(None).cast("binary").alias("mask"))
     part = kept.filter("n = 1").select("anchor", "content").join(masks, ["anchor", "content"])
@@ -333,7 +353,7 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", length: int =
             for k, v in zip(out, (len(data), gone, spans, hashlib.sha256(left).hexdigest(), left), strict=True):
                 out[k].append(v)
         kinds = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "kept": pa.binary()}
-        return {"doc": b.column(0)} | {k: pa.array(v, kinds[k]) for k, v in out.items() if k != "kept" or kept_text}
+        return {"key": b.column(0)} | {k: pa.array(v, kinds[k]) for k, v in out.items() if k != "kept" or kept_text}
 
-    schema = f"doc {blobs.schema['doc'].dataType.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * kept_text
-    return by_rows(blobs.join(hits, "doc", "left").select("doc", "blob", "hits"), schema, make, 128).withColumnRenamed("doc", key)
+    schema = f"key {blobs.schema['key'].dataType.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * kept_text
+    return by_rows(blobs.join(hits, "doc", "left").select("key", "blob", "hits"), schema, make, 128).withColumnRenamed("key", key)

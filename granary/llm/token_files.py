@@ -1,9 +1,10 @@
 """Token counts from flat token files without an index, by scanning for the end-of-document identifier.
 
 A shard is one long run of 16-bit identifiers; documents follow one another, each closed by the separator. Shards are
-read as blocks cut anywhere. Each block is searched on its own with vector operations, which gives its length, its number
-of separators and where the first and the last stand; a prefix scan over these few numbers per block then gives every
-block the ordinal and the length that the documents open at its start have so far, and so stitches the boundaries.
+read as blocks cut anywhere, by ranges of bytes, so a file of any length is many tasks. Each block is searched on its own
+with vector operations, which gives its length, its number of separators and where the first and the last stand. A prefix
+scan over these few numbers, first within groups of GROUP blocks and then over the groups of a shard, gives every block
+the ordinal and the length that the documents open at its start have so far, and so stitches the boundaries.
 
 Empty documents count as zero tokens. What follows a shard's last separator is a last document without an end, reported
 as such if it has tokens. Blocks without any separator only lengthen the open document. Empty tables give no rows.
@@ -16,13 +17,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import tiktoken
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import saved
 
-WIDTH, BLOCK = 2, 1 << 20
+#: Bytes of a block, and blocks of a group.
+BLOCK, GROUP = 1 << 20, 256
 _encodings: dict[str, tiktoken.Encoding] = {}
 
 
@@ -75,10 +78,23 @@ def tokenised(df: DataFrame, path: str, pattern: str, separator: int, key: str =
 
 
 def read_files(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
-    """Flat token files, as Spark reads them, as blocks; a file is a shard named by its path and at most 2 GB."""
-    files = spark.read.format("binaryFile").load(path)
-    cuts = F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / block)))
-    return files.filter("length > 0").select(F.col("path").alias("shard"), F.explode(cuts).alias("block"), "content").select("shard", "block", F.expr(f"substring(content, cast(block * {block} + 1 as int), {block})").alias("payload"))
+    """Flat token files of any length as blocks; a file is a shard named by its path, and its ranges are read by tasks.
+
+    Spark lists the files; ranges are read through Arrow's file systems, which have to know the path's scheme.
+    """
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("shard"), "length").filter("length > 0")
+    cuts = files.select("shard", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / block))).alias("block"))
+    dealt = cuts.repartition("shard", "block")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, length, k in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                system, at = fs.FileSystem.from_uri(name)
+                with system.open_input_file(at) as f:
+                    data = f.read_at(min(block, length - k * block), k * block)
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([k], pa.int64()), pa.array([data], pa.binary())], names=["shard", "block", "payload"])
+
+    return dealt.mapInArrow(run, "shard string, block bigint, payload binary")
 
 
 def scan(blocks: DataFrame, separator: int) -> DataFrame:
@@ -99,15 +115,34 @@ def scan(blocks: DataFrame, separator: int) -> DataFrame:
     return blocks.select("shard", "block", "payload").mapInArrow(run, f"shard {kind}, block bigint, n bigint, seps bigint, first bigint, last bigint, inner array<bigint>")
 
 
-def counts(blocks: DataFrame, separator: int) -> DataFrame:
-    """(shard, ordinal, n_tokens, closed): one row per document, the separator not counted."""
-    before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+def placed(scanned: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Blocks with (base, ordinal, since): identifiers and separators before each, and where its first document began.
+
+    Also (shard, n, ordinal, since), the same at each shard's end.
+    """
     zero = F.lit(0).cast("long")
-    based = scan(blocks, separator).select("*", F.coalesce(F.sum("n").over(before), zero).alias("base"), F.coalesce(F.sum("seps").over(before), zero).alias("ordinal"))
+    blocks = scanned.select("shard", "block", "n", "seps", "last", F.floor(F.col("block") / GROUP).alias("part"))
+    own = Window.partitionBy("shard", "part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    based = blocks.withColumns({"n_in": F.coalesce(F.sum("n").over(own), zero), "seps_in": F.coalesce(F.sum("seps").over(own), zero)})
     # The document open at a block's start began right after the last separator of the blocks before.
-    opened = based.withColumn("since", F.coalesce(F.max(F.col("base") + F.col("last") + 1).over(before), zero))
+    based = based.withColumn("end", F.col("n_in") + F.col("last") + 1).withColumn("since_in", F.max("end").over(own))
+    groups = based.groupBy("shard", "part").agg(F.sum("n").alias("n"), F.sum("seps").alias("seps"), F.max("end").alias("end"))
+    # One row for each GROUP blocks.
+    over = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.withColumns({"n_to": F.coalesce(F.sum("n").over(over), zero), "seps_to": F.coalesce(F.sum("seps").over(over), zero)}).withColumn("at", F.col("n_to") + F.col("end"))
+    groups = groups.withColumn("since_to", F.coalesce(F.max("at").over(over), zero))
+    ends = groups.groupBy("shard").agg(F.sum("n").alias("n"), F.sum("seps").alias("ordinal"), F.coalesce(F.max("at"), zero).alias("since"))
+    joined = based.select("shard", "part", "block", "n_in", "seps_in", "since_in").join(groups.select("shard", "part", "n_to", "seps_to", "since_to"), ["shard", "part"])
+    since = F.coalesce(F.col("n_to") + F.col("since_in"), "since_to")
+    return joined.select("shard", "block", (F.col("n_to") + F.col("n_in")).alias("base"), (F.col("seps_to") + F.col("seps_in")).alias("ordinal"), since.alias("since")), ends
+
+
+def counts(blocks: DataFrame, separator: int) -> DataFrame:
+    """(shard, ordinal, n_tokens, closed): one row per document, the separator not counted."""
+    scanned = saved(scan(blocks, separator))
+    places, ends = placed(scanned)
     lengths = F.concat(F.array(F.col("base") + F.col("first") - F.col("since")), "inner")
-    closed = opened.filter("seps > 0").select("shard", F.posexplode(lengths).alias("i", "n_tokens"), "ordinal").select("shard", (F.col("ordinal") + F.col("i")).alias("ordinal"), "n_tokens", F.lit(True).alias("closed"))
-    ends = based.groupBy("shard").agg(F.sum("n").alias("n"), F.sum("seps").alias("ordinal"), F.coalesce(F.max(F.col("base") + F.col("last") + 1), zero).alias("since"))
+    closed = scanned.filter("seps > 0").select("shard", "block", "first", "inner").join(places, ["shard", "block"])
+    closed = closed.select("shard", F.posexplode(lengths).alias("i", "n_tokens"), "ordinal").select("shard", (F.col("ordinal") + F.col("i")).alias("ordinal"), "n_tokens", F.lit(True).alias("closed"))
     tail = ends.filter("n > since").select("shard", "ordinal", (F.col("n") - F.col("since")).alias("n_tokens"), F.lit(False).alias("closed"))
     return closed.union(tail)

@@ -45,3 +45,42 @@ def test_query_and_operator(spark):
     assert [(r.token_ids, r.decoded) for r in made.orderBy("n").collect()] == [(LIB.encode("The cat", add_special_tokens=False).ids, "the</w> cat</w>"), ([], ""), ([], "")]
     assert [r.text for r in bpe.round_trip(df, PATH).orderBy("n").collect()] == ["the</w> cat</w>", None, ""]
     assert bpe.encode(df.filter("false"), PATH).count() == 0
+
+
+def test_compiled_automaton_against_merges_by_rank():
+    """Every arc of small random vocabularies, by what merging two labels' symbols in order of rank gives."""
+    import random
+
+    rng = random.Random(5)
+    for _ in range(25):
+        labels, merges = list("abc"), []
+        while len(merges) < 12:
+            pair = rng.choice(labels), rng.choice(labels)
+            if "".join(pair) not in labels:
+                merges.append(pair)
+                labels.append("".join(pair))
+        rank = {p: i for i, p in enumerate(merges)}
+
+        def bpe_of(word):
+            parts = list(word)
+            while True:
+                found = min(((rank.get(p, 99), i) for i, p in enumerate(zip(parts, parts[1:], strict=False))), default=(99, 0))
+                if found[0] == 99:
+                    return parts
+                a, b = parts[found[1]], parts[found[1] + 1]
+                out, i = [], 0
+                while i < len(parts):
+                    hit = parts[i : i + 2] == [a, b]
+                    out.append(a + b if hit else parts[i])
+                    i += 2 if hit else 1
+                parts = out
+
+        # Only labels that stand for themselves are ever in an encoding.
+        own = [t for t in labels if bpe_of(t) == [t]]
+        auto = bpe.Automaton({t: i for i, t in enumerate(labels)}, merges)
+        for s in own:
+            for t in own:
+                assert auto.arc(s, t) == (bpe_of(s + t) == [s, t]), (merges, s, t)
+        for _ in range(60):
+            word = [rng.choice("abc") for _ in range(rng.randrange(1, 14))]
+            assert auto.path(word) == bpe_of(word)

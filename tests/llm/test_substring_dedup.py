@@ -53,8 +53,12 @@ def test_hard_texts(spark, monkeypatch):
         monkeypatch.setattr(D, "RUN", 40)
         monkeypatch.setattr(D, "PER_BUCKET", 60)
         assert result(D.dedup(df, length=20, gram=6)) == plain(texts, 20)
-    more = df.union(spark.createDataFrame([(None, shared, 1, 2)] * 2, df.schema))
-    assert [r for r in D.dedup(more, length=20, gram=6).collect() if r.doc_id is None and r.n_removed == 0 and r.n_bytes == len(shared.encode())][1:]
+    # Rows are told apart whatever their ids: a null one, one on two texts, and a row given twice.
+    rows = [*texts.items(), (None, shared), (None, word(70)), (7, texts[8] + "x"), (8, word(40) + shared[20:60])]
+    more = spark.createDataFrame([(n, k, t) for n, (k, t) in enumerate(rows)], "n long, doc_id long, text string")
+    want = plain({n: t for n, (_, t) in enumerate(rows)}, 20)
+    got = sorted((r.doc_id is None, r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in D.dedup(more, length=20, gram=6).collect())
+    assert got == sorted((k is None, k, *want[n]) for n, (k, _) in enumerate(rows))
     assert D.dedup(df.filter("false")).count() == 0
     assert D.dedup(df, length=20, gram=6, kept_text=True).filter("n_bytes - n_removed <> length(kept)").count() == 0
 
