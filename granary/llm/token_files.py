@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import saved
 
-#: Bytes of a block, and blocks of a group.
-BLOCK, GROUP = 1 << 20, 256
+#: Bytes of a block, blocks of a group, and bytes of files that a task reads.
+BLOCK, GROUP, TASK = 1 << 20, 256, 128 << 20
 _encodings: dict[str, tiktoken.Encoding] = {}
 
 
@@ -84,7 +84,9 @@ def read_files(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
     """
     files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("shard"), "length").filter("length > 0")
     cuts = files.select("shard", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / block))).alias("block"))
-    dealt = cuts.repartition("shard", "block")
+    # A number of tasks by the bytes to read, as the rows to deal say nothing of these; small inputs use every core.
+    tasks = (files.agg(F.sum("length")).first()[0] or 0) // TASK + 1
+    dealt = cuts.repartition(max(tasks, spark.sparkContext.defaultParallelism), "shard", "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
