@@ -43,6 +43,7 @@ LENGTH, GRAM = 200, 32
 PIECE = 1 << 17  # window starts at a time
 PER_BUCKET, RUN = 12_000, 20_000  # contents merged by one task, and sorted into one set of runs
 HOT = PER_BUCKET  # contents of a group that would make a bucket of their own: its windows are split in halves
+SHARES = 1000  # keys that may stand for a thousandth of all stretches each
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -306,15 +307,25 @@ def covered(size: int, hits: list[dict], length: int) -> np.ndarray:
     return np.cumsum(step) > 0
 
 
+def met(rows: DataFrame, others: DataFrame, keys: list[str], share: int) -> DataFrame:
+    """`rows` joined with `others`, whose `n` says how many rows they meet and isn't kept.
+
+    Keys that more than `share` rows have are SHARES at most, so these are broadcast and their rows stay where they are.
+    """
+    hot, cold = F.broadcast(others.filter(F.col("n") > share).drop("n")), others.filter(F.col("n") <= share).drop("n")
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys))
+
+
 def repeated(df: DataFrame, key: str, text: str, length: int, gram: int) -> tuple[DataFrame, DataFrame]:
     """(doc, key, blob) of all texts, and (doc, hits): the repeated stretches of those that have any."""
     docs = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
     # Written, so a number once given stays.
     blobs = saved(squeezed(docs).withColumn("doc", F.monotonically_increasing_id()))
     rows = saved(found_in(blobs.select("doc", "blob"), length, gram))
-    anchors = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), (F.min("content") != F.max("content")).alias("several")).filter("n > 1").drop("n")
+    anchors = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), (F.min("content") != F.max("content")).alias("several")).filter("n > 1")
+    anchors, share = saved(anchors), max(rows.count() // SHARES, 1)
     # Stretches of anchors that stand more than once, equal ones as one: what stands twice repeats, and what differs goes on.
-    kept = rows.join(anchors, "anchor").groupBy("anchor", "content", "several").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "place")).alias("first"))
+    kept = met(rows, anchors, ["anchor"], share).groupBy("anchor", "content", "several").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "place")).alias("first"))
     kept = saved(kept)
 
     wanted = kept.filter("several").groupBy("first.doc").agg(F.collect_list(F.struct("anchor", "content", "first.place")).alias("wanted"))
@@ -327,10 +338,10 @@ def repeated(df: DataFrame, key: str, text: str, length: int, gram: int) -> tupl
     masks = by_rows(groups, "anchor bigint, content bigint, mask binary", lambda b: merged(b, length), 1)
     masks = masks.unionByName(by_rows(single.select("anchor", "content", "left", "right", "lo"), "anchor bigint, content bigint, mask binary", lambda b: one_window(b, length)))
 
-    whole = kept.filter("n > 1").select("anchor", "content", F.lit(None).cast("binary").alias("mask"))
-    part = kept.filter("n = 1").select("anchor", "content").join(masks, ["anchor", "content"])
+    whole = kept.filter("n > 1").select("anchor", "content", "n", F.lit(None).cast("binary").alias("mask"))
+    part = kept.filter("n = 1").select("anchor", "content", "n").join(masks, ["anchor", "content"])
     results = saved(whole.unionByName(part))
-    hits = rows.join(results, ["anchor", "content"]).groupBy("doc").agg(F.collect_list(F.struct("place", "mask")).alias("hits"))
+    hits = met(rows, results, ["anchor", "content"], share).groupBy("doc").agg(F.collect_list(F.struct("place", "mask")).alias("hits"))
     return blobs, hits
 
 
